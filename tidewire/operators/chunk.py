@@ -120,7 +120,9 @@ def explode_windows(
 ) -> DataFrame:
     """One row per token window of ``text``: parents, ``pos``, ``chunk_id``, ``text``."""
     windows = rows.select(*parents, token_windows(F.col(text), max_tokens).alias("_windows"))
-    exploded = windows.select(*parents, F.posexplode("_windows").alias("pos", "text"))
+    # There is always a window, so the outer form changes nothing in the result;
+    # it spares the derived filter that would cut the text a second time.
+    exploded = windows.select(*parents, F.posexplode_outer("_windows").alias("pos", "text"))
     return exploded.select(*parents, "pos", content_id(F.col("text")).alias("chunk_id"), "text")
 
 
@@ -145,9 +147,10 @@ def chunk(
         "metadata",
         F.filter(windows, lambda window: window != "").alias("_windows"),
     )
-    return chunks.select(
-        "doc_id", "full_raw_text", "metadata", F.posexplode("_windows").alias("pos", "text")
-    ).select(
+    exploded = chunks.select(
+        "doc_id", "full_raw_text", "metadata", F.posexplode_outer("_windows").alias("pos", "text")
+    )
+    return exploded.where(F.col("text").isNotNull()).select(
         "doc_id",
         content_id(F.col("text")).alias("chunk_id"),
         "pos",

@@ -70,24 +70,20 @@ def embed_dense(
     text: str = "text",
     model: Callable[[], Predict] | None = None,
     batch_size: int = 1024,
-    partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``embedding``; blank texts are removed first.
-
-    ``partitions`` spreads a small input (a micro-batch of a few files) over
-    that many tasks; leave it unset where the input is already spread.
-    """
-    kept = not_blank(rows, text)
-    if partitions:
-        kept = kept.repartition(partitions)
-    return kept.withColumn("embedding", dense_vector(F.col(text), model, batch_size))
+    """Add ``embedding``; blank texts are removed first."""
+    return not_blank(rows, text).withColumn("embedding", dense_vector(F.col(text), model, batch_size))
 
 
 def embed_sparse(
     rows: DataFrame, *keys: str, text: str = "text", dimensions: int = DIMENSIONS
 ) -> DataFrame:
-    """One row per non-zero weight: keys, ``bucket``, ``weight``. No shuffle."""
-    vectors = not_blank(rows, text).select(
-        *keys, F.explode(sparse_vector(F.col(text), dimensions)).alias("_entry")
+    """One row per non-zero weight: keys, ``bucket``, ``weight``. No shuffle.
+
+    Blank texts have no weights and give no rows.
+    """
+    vectors = rows.select(
+        *keys, F.explode_outer(sparse_vector(F.col(text), dimensions)).alias("_entry")
     )
-    return vectors.select(*keys, "_entry.bucket", "_entry.weight")
+    weights = vectors.where(F.col("_entry").isNotNull())
+    return weights.select(*keys, "_entry.bucket", "_entry.weight")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.operators.partitioning import spread
+
 AS_OF = "2024-02-01 00:00:00"
 FIRST_DAY = "2024-01-01 00:00:00"
 
@@ -18,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose texts are about to be cleaned or embedded row by row."""
+    return spread(table(spark, folder, name))
+
+
 def written_date(key: Column) -> Column:
     """ISO, ISO with offset, RFC-822, US, or unreadable, by id modulo 5."""
     day = F.lit(FIRST_DAY).cast("timestamp_ntz")
@@ -47,7 +54,7 @@ def pages_as_feed_a(spark: SparkSession, folder: str, deliveries: int = 1) -> Da
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     again = F.explode(F.sequence(F.lit(0), F.lit(deliveries - 1))).alias("delivery")
     return (
-        table(spark, folder, "pages")
+        texts(spark, folder, "pages")
         .select("*", again)
         .select(
             F.concat_ws("-", "delivery", F.lpad(key.cast("string"), 12, "0")).alias("pos"),
@@ -73,7 +80,7 @@ def documents_as_feed_b(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as feed B records; ``pos`` is arrival."""
     key = F.col("doc_id")
     none = F.lit(None).cast("string")
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents").select(
         F.concat_ws("-", F.lit("0"), F.lpad(key.cast("string"), 12, "0")).alias("pos"),
         key.cast("string").alias("article_id"),
         F.substring_index("text", "\n", 1).alias("title"),

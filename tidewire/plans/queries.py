@@ -24,6 +24,7 @@ from tidewire.plans.inputs import (
     landed_lines,
     pages_as_feed_a,
     table,
+    texts,
     written_date,
 )
 from tidewire.plans.session import shared_folder
@@ -150,7 +151,7 @@ def refine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def html_strip(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select(
+    return texts(spark, folder, "pages").select(
         "page_id", collapse_space(strip_tags(F.col("html"))).alias("text")
     )
 
@@ -159,7 +160,7 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = clean_full(F.col("text")).alias("text")
     turn = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     parts = [
-        table(spark, folder, "documents").select(
+        texts(spark, folder, "documents").select(
             F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("id"), cleaned
         ),
         table(spark, folder, "conversations").select(
@@ -173,7 +174,7 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_published(spark: SparkSession, folder: str) -> DataFrame:
-    dated = table(spark, folder, "documents").select(
+    dated = texts(spark, folder, "documents").select(
         "doc_id", written_date(F.col("doc_id")).alias("written")
     )
     return dated.select(
@@ -188,11 +189,11 @@ def parse_published(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = table(spark, folder, "documents").select(
+    cleaned = texts(spark, folder, "documents").select(
         "doc_id", clean_full(F.col("text")).alias("text")
     )
-    split = cleaned.select("doc_id", F.posexplode(chunks.sections(F.col("text"))))
-    return split.select(
+    split = cleaned.select("doc_id", F.posexplode_outer(chunks.sections(F.col("text"))))
+    return split.where(F.col("col").isNotNull()).select(
         "doc_id",
         "pos",
         F.length("col").alias("n_chars"),
@@ -201,14 +202,14 @@ def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = table(spark, folder, "documents").select(
+    cleaned = texts(spark, folder, "documents").select(
         "doc_id", "source", clean_full(F.col("text")).alias("full_raw_text")
     )
     return chunks.explode_windows(cleaned, "full_raw_text", "doc_id", "source")
 
 
 def _windows(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = table(spark, folder, "documents").select(
+    cleaned = texts(spark, folder, "documents").select(
         "doc_id", clean_full(F.col("text")).alias("cleaned")
     )
     return chunks.explode_windows(cleaned, "cleaned", "doc_id").select("doc_id", "pos", "text")
@@ -236,7 +237,7 @@ def embed_sparse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedup_first(spark: SparkSession, folder: str) -> DataFrame:
-    keyed = table(spark, folder, "documents").select(
+    keyed = texts(spark, folder, "documents").select(
         "doc_id", "source", content_id(clean_full(F.col("text"))).alias("content_key")
     )
     return first_wins(keyed, "content_key", [F.col("doc_id")])
@@ -297,7 +298,7 @@ def _vectors(spark: SparkSession, folder: str):
 
 def search_text(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest documents to every question."""
-    documents = table(spark, folder, "documents").select(
+    documents = texts(spark, folder, "documents").select(
         "doc_id", clean_full(F.col("text")).alias("cleaned")
     )
     hits = search.search_text(
@@ -386,7 +387,7 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
         out = lines.select("feed", "value").write.mode("append").partitionBy("feed")
         out.text(landing)
     job = Ingest(store, AS_OF)
-    stream = stream_landing(spark, landing, max_files=4)
+    stream = stream_landing(spark, landing, max_files=16)
     checkpoint = shared_folder(spark, "offsets")
     ingest_stream(stream, job, checkpoint, until_caught_up=True).start().awaitTermination()
     return store.current().select("doc_id", "chunk_id", F.length("text").alias("n_chars"), "metadata.*")

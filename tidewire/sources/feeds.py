@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidewire.functions.dates import format_timestamp, published_timestamp
 from tidewire.functions.ids import uuid_shaped
 from tidewire.functions.text import clean_text_or_na, clean_url_or_na
+from tidewire.operators.partitioning import computed_once
 from tidewire.sources.schemas import CORRUPT, FEED_A, FEED_B
 
 UNKNOWN_SOURCE = "Unknown"
@@ -53,7 +54,7 @@ def parse_records(raw: DataFrame, feed: Feed, value: str = "value") -> DataFrame
     """
     schema = T.StructType(feed.schema.fields + [T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = raw.withColumn("record", F.from_json(value, schema, options))
+    parsed = computed_once(raw, "record", F.from_json(value, schema, options))
     return parsed.withColumn("reason", _reject_reason(feed, F.col(value)))
 
 
@@ -73,18 +74,6 @@ def _reject_reason(feed: Feed, raw: Column) -> Column:
     return reason
 
 
-def valid(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("reason").isNull())
-
-
-def rejected(parsed: DataFrame, value: str = "value") -> DataFrame:
-    """The quarantine view: why, and the record as it came."""
-    kept = [c for c in parsed.columns if c not in ("record", "reason", value)]
-    return parsed.where(F.col("reason").isNotNull()).select(
-        *kept, "reason", F.col(value).alias("raw")
-    )
-
-
 def common_from_a(
     articles: DataFrame, as_of: datetime | str, keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -148,20 +137,32 @@ def _common(
 
 def landed_articles(
     raw: DataFrame, as_of: datetime | str, keep: tuple[str, ...] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """Landed records of both feeds as (common articles, rejected records).
+) -> DataFrame:
+    """Landed records of both feeds as common articles, each checked.
 
-    Each branch filters on the ``feed`` directory, so it reads only its files.
+    ``reason`` is null for a valid article. A rejected record has its reason,
+    its text in ``raw`` and nothing to rely on in the other columns; split with
+    ``valid`` and ``rejected``. Each branch filters on the ``feed`` directory,
+    so it reads only its files.
     """
-    carried = ("feed", *keep)
+    carried = ("feed", "reason", "raw", *keep)
     branches = []
-    bad = []
     for feed, to_common in ((FEED_A_SPEC, common_from_a), (FEED_B_SPEC, common_from_b)):
         parsed = parse_records(raw.where(F.col("feed") == feed.name), feed)
-        record = valid(parsed).select(*carried, "record.*")
+        text = F.when(F.col("reason").isNotNull(), F.col("value")).alias("raw")
+        record = parsed.select("feed", "reason", *keep, text, "record.*")
         branches.append(to_common(record, as_of, keep=carried))
-        bad.append(rejected(parsed).select(*carried, "reason", "raw"))
-    return branches[0].unionByName(branches[1]), bad[0].unionByName(bad[1])
+    return branches[0].unionByName(branches[1])
+
+
+def valid(checked: DataFrame) -> DataFrame:
+    """Articles that passed."""
+    return checked.where(F.col("reason").isNull()).drop("reason", "raw")
+
+
+def rejected(checked: DataFrame, *keep: str) -> DataFrame:
+    """The quarantine view: which feed, why, and the record as it came."""
+    return checked.where(F.col("reason").isNotNull()).select("feed", "reason", "raw", *keep)
 
 
 def feed_rank(feed: Column) -> Column:

@@ -46,7 +46,7 @@ class VectorStore:
     spark: SparkSession
     root: str
     granularity: str = "chunk"
-    url_buckets: int = 64
+    url_buckets: int = 16
 
     def __post_init__(self):
         if self.granularity not in IDENTITY:

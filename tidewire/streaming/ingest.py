@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidewire.operators.chunk import MAX_CHARS, MAX_TOKENS, OVERLAP, chunk, refine
 from tidewire.operators.dedup import first_wins
 from tidewire.operators.embed import Predict, embed_dense
-from tidewire.sources.feeds import feed_rank, landed_articles
+from tidewire.sources.feeds import feed_rank, landed_articles, rejected, valid
 from tidewire.sources.store import VectorStore
 
 # Fixed value: seconds between two looks at the landing folder.
@@ -28,7 +28,8 @@ class Ingest:
 
     ``as_of`` stands in for unreadable dates. ``select`` narrows the articles
     (recency, topic, batch size) before anything is compared or embedded.
-    ``embed_tasks`` spreads a micro-batch over that many tasks for the model.
+    The new articles of a batch are spread over ``embed_tasks`` tasks for
+    chunking and the model: one per core if unset, as they come if 0.
     """
 
     store: VectorStore
@@ -42,24 +43,35 @@ class Ingest:
 
     def points(self, articles: DataFrame) -> DataFrame:
         """Articles to embedded chunks."""
-        chunks = chunk(refine(articles), self.max_chars, self.overlap, self.max_tokens)
+        refined = refine(articles)
+        tasks = self.embed_tasks
+        if tasks is None:
+            tasks = articles.sparkSession.sparkContext.defaultParallelism
+        if tasks:
+            refined = refined.repartition(tasks)
+        chunks = chunk(refined, self.max_chars, self.overlap, self.max_tokens)
         narrow = chunks.select("doc_id", "chunk_id", "pos", "text", "metadata")
-        return embed_dense(narrow, model=self.model, partitions=self.embed_tasks)
+        return embed_dense(narrow, model=self.model)
 
     def run(self, landed: DataFrame, batch_id: int) -> None:
         """Store what is new in ``landed`` as batch ``batch_id``; quarantine the rest.
 
         URLs are made unique and compared with the store before chunking, so
-        the model never sees a duplicate.
+        the model never sees a duplicate. The checked records are kept for the
+        length of the batch, since quarantine, lookup and write each need them.
         """
         numbered = landed.withColumn("_line", F.monotonically_increasing_id())
-        articles, bad = landed_articles(numbered, self.as_of, keep=ARRIVAL)
-        self._quarantine(bad.drop(*ARRIVAL), batch_id)
-        if self.select is not None:
-            articles = self.select(articles)
-        order = [feed_rank(F.col("feed")), *[F.col(name) for name in ARRIVAL]]
-        unique = first_wins(articles, "url", order)
-        self.store.write(self.points(self.store.only_new(unique, batch_id)), batch_id)
+        checked = landed_articles(numbered, self.as_of, keep=ARRIVAL).persist()
+        try:
+            self._quarantine(rejected(checked), batch_id)
+            articles = valid(checked)
+            if self.select is not None:
+                articles = self.select(articles)
+            order = [feed_rank(F.col("feed")), *[F.col(name) for name in ARRIVAL]]
+            unique = first_wins(articles, "url", order)
+            self.store.write(self.points(self.store.only_new(unique, batch_id)), batch_id)
+        finally:
+            checked.unpersist()
 
     def _quarantine(self, bad: DataFrame, batch_id: int) -> None:
         (
