@@ -138,15 +138,15 @@ dots AS (
   FROM row_terms d JOIN asked_terms q USING (bucket) GROUP BY ALL
 ),
 scored AS (
-  SELECT item_id, {keys}, dot / (d.norm * q.norm) AS score
-  FROM dots JOIN row_norms d USING (row_id) JOIN asked_norms q USING (item_id)
+  -- a text without a common word scores zero and is still a neighbour
+  SELECT item_id, {keys}, coalesce(dot, 0) / (d.norm * q.norm) AS score
+  FROM row_norms d CROSS JOIN asked_norms q LEFT JOIN dots USING (item_id, row_id)
   JOIN numbered USING (row_id)
 ),
 single AS (SELECT * FROM scored {one_per_group}),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {ties}) AS rank
   FROM single
-  -- texts without a common word score zero and still count as neighbours
   QUALIFY rank <= 10
 )"""
 

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidewire.operators.chunk import MAX_CHARS, MAX_TOKENS, OVERLAP, chunk, refine
 from tidewire.operators.dedup import first_wins
 from tidewire.operators.embed import Predict, embed_dense
-from tidewire.sources.feeds import feed_rank, landed_articles, rejected, valid
+from tidewire.sources.feeds import FEEDS, feed_rank, landed_articles, rejected, valid
 from tidewire.sources.store import VectorStore
 
 # Fixed value: seconds between two looks at the landing folder.
 POLL_SECONDS = 5
-# Where a record stood: feeds in rank order, files as they came, lines as written.
-ARRIVAL = ("_file_time", "_file", "_block", "_line")
+# Where a record stood, apart from its line: files as they came, then position.
+FILE_ORDER = ("_file_time", "_file", "_block")
+
+log = logging.getLogger(__name__)
+
+
+def _fetched() -> list[Column]:
+    """Counts taken while a batch is written: fetched and rejected, per feed."""
+    counts = []
+    for feed in FEEDS:
+        here = F.col("feed") == feed.name
+        counts.append(F.count_if(here).alias(f"fetched_{feed.name}"))
+        bad = here & F.col("reason").isNotNull()
+        counts.append(F.count_if(bad).alias(f"rejected_{feed.name}"))
+    return counts
 
 
 @dataclass(frozen=True)
@@ -53,25 +67,34 @@ class Ingest:
         narrow = chunks.select("doc_id", "chunk_id", "pos", "text", "metadata")
         return embed_dense(narrow, model=self.model)
 
-    def run(self, landed: DataFrame, batch_id: int) -> None:
-        """Store what is new in ``landed`` as batch ``batch_id``; quarantine the rest.
+    def check(self, landed: DataFrame) -> DataFrame:
+        """Landed records (with arrival) as checked articles; works on a stream too."""
+        return landed_articles(landed, self.as_of, keep=FILE_ORDER)
+
+    def store_batch(self, checked: DataFrame, batch_id: int) -> None:
+        """Store what is new among ``checked`` as batch ``batch_id``; quarantine the rest.
 
         URLs are made unique and compared with the store before chunking, so
         the model never sees a duplicate. The checked records are kept for the
         length of the batch, since quarantine, lookup and write each need them.
         """
-        numbered = landed.withColumn("_line", F.monotonically_increasing_id())
-        checked = landed_articles(numbered, self.as_of, keep=ARRIVAL).persist()
+        numbered = checked.withColumn("_line", F.monotonically_increasing_id()).persist()
         try:
-            self._quarantine(rejected(checked), batch_id)
-            articles = valid(checked)
+            counts = Observation(f"batch {batch_id}")
+            self._quarantine(rejected(numbered.observe(counts, *_fetched())), batch_id)
+            log.info("batch %d: %s", batch_id, counts.get)
+            articles = valid(numbered)
             if self.select is not None:
                 articles = self.select(articles)
-            order = [feed_rank(F.col("feed")), *[F.col(name) for name in ARRIVAL]]
+            order = [feed_rank(F.col("feed")), *[F.col(name) for name in (*FILE_ORDER, "_line")]]
             unique = first_wins(articles, "url", order)
             self.store.write(self.points(self.store.only_new(unique, batch_id)), batch_id)
         finally:
-            checked.unpersist()
+            numbered.unpersist()
+
+    def run(self, landed: DataFrame, batch_id: int) -> None:
+        """Ingest a table of landed records as one batch."""
+        self.store_batch(self.check(landed), batch_id)
 
     def _quarantine(self, bad: DataFrame, batch_id: int) -> None:
         (
@@ -113,16 +136,11 @@ def ingest_stream(
 ) -> DataStreamWriter:
     """A writer ready to ``start()``; it resumes from ``checkpoint``.
 
-    The counts of each micro-batch are in the query progress as observed
-    metrics "fetched".
+    Records are parsed and mapped in the streaming plan, where each feed's
+    branch reads only the files of its own folder.
     """
-    counted = landed.observe(
-        "fetched",
-        F.count(F.lit(1)).alias("records"),
-        F.count_if(F.col("feed") == "a").alias("feed_a"),
-        F.count_if(F.col("feed") == "b").alias("feed_b"),
-    )
-    writer = counted.writeStream.foreachBatch(job.run).option("checkpointLocation", checkpoint)
+    writer = job.check(landed).writeStream.foreachBatch(job.store_batch)
+    writer = writer.option("checkpointLocation", checkpoint)
     if until_caught_up:
         return writer.trigger(availableNow=True)
     return writer.trigger(processingTime=f"{POLL_SECONDS} seconds")
