@@ -104,3 +104,10 @@ def test_refine_and_chunk(spark):
     assert chunks[1].metadata.url == "v" and chunks[1].full_raw_text.startswith(".one")
     blank = refined.withColumn("full_text", F.lit("  "))
     assert C.chunk(blank).count() == 0
+
+
+def test_windows_kept_for_a_store(spark):
+    refined = spark.createDataFrame([("d", "a b a b c c", "m"), ("e", " ", "m")], "doc_id string, full_text string, metadata string")
+    for keep, expected in (("all", ["a b", "a b", "c c"]), ("distinct", ["a b", "c c"]), ("last", ["c c"])):
+        chunks = C.chunk(refined, max_tokens=2, keep=keep).orderBy("pos").collect()
+        assert [r.text for r in chunks] == expected

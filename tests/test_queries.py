@@ -9,7 +9,7 @@ TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-NO_SQL = {"knn_approximate"}
+NO_SQL = {"knn_lsh"}
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,7 @@ def test_entry_is_the_flagship(spark):
 
 def test_approximate_recall_on_the_given_vectors(spark, tables):
     """The given vectors are nearly random, so few cells hold few neighbours."""
-    near = registry.queries()["knn_approximate"](spark, tables)
+    near = registry.queries()["knn_lsh"](spark, tables)
     exact = registry.queries()["knn_topk"](spark, tables)
     both = near.join(exact, ["topic", "vec_id"])
     assert both.count() / exact.count() >= 0.5

@@ -86,3 +86,27 @@ def test_rewrite_makes_one_batch(spark, tmp_path):
         store.current().select(*same).collect()
     )
     assert sorted(r.url for r in fresh.keys().collect()) == ["u", "u0", "u1", "u2"]
+
+
+def test_only_articles_with_versions_are_shuffled(spark, tmp_path, plan_of):
+    store = VectorStore(spark, str(tmp_path / "s"))
+    store.write(points(spark, *[(f"d{i}", "c", 0, "t", f"u{i}") for i in range(5)]), 0)
+    store.write(points(spark, ("d9", "c", 0, "t", "u9"), ("d9", "c2", 1, "t", "u9")), 1)
+    plain = plan_of(store.current())
+    assert "Exchange" not in plain and "Window" not in plain
+    # the same article under another URL, and a point repeated within its batch
+    store.write(points(spark, ("d1", "c", 0, "new", "other"), *[("d8", "c", p, f"p{p}", "u8") for p in (0, 1)]), 2)
+    assert "Window" in plan_of(store.current())
+    titles = {(r.doc_id, r.chunk_id): r.metadata.title for r in store.current().collect()}
+    assert len(titles) == store.current().count() == 8
+    assert (titles["d1", "c"], titles["d8", "c"], titles["d0", "c"]) == ("new", "p1", "t")
+
+
+def test_many_versions_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    from tidewire.sources import store as module
+
+    store = VectorStore(spark, str(tmp_path / "s"))
+    for batch in range(2):
+        store.write(points(spark, *[(f"d{i}", "c", 0, f"t{batch}", f"u{i}") for i in range(6)]), batch)
+    monkeypatch.setattr(module, "BROADCAST_IDS", 3)
+    assert [r.metadata.title for r in store.current().collect()] == ["t1"] * 6

@@ -160,3 +160,17 @@ def test_counts_are_logged(setting, caplog):
     with caplog.at_level("INFO", logger=stream.__name__):
         run(max_files=10)
     assert "'fetched_a': 2, 'rejected_a': 0, 'fetched_b': 2, 'rejected_b': 1" in caplog.text
+
+
+def test_document_granularity_stores_the_last_window(spark, tmp_path):
+    landing = Landing(tmp_path / "landing")
+    landing.add("a", a(1), a(2))
+    landed = stream.with_arrival(read_landing(spark, str(landing.root)))
+    by_chunk = VectorStore(spark, str(tmp_path / "chunks"))
+    by_document = VectorStore(spark, str(tmp_path / "documents"), granularity="document")
+    for store in (by_chunk, by_document):
+        stream.Ingest(store, AS_OF, max_tokens=20, embed_tasks=0).run(landed, 0)
+    last = by_chunk.current().groupBy("doc_id").agg(F.max_by("text", "pos").alias("text"))
+    kept = by_document.current().select("doc_id", "text")
+    assert sorted(kept.collect()) == sorted(last.collect())
+    assert by_chunk.current().count() > by_document.current().count() == 2

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
@@ -126,26 +126,34 @@ def explode_windows(
     return exploded.select(*parents, "pos", content_id(F.col("text")).alias("chunk_id"), "text")
 
 
+KEEP: dict[str, Callable[[Column], Column]] = {
+    "all": lambda windows: windows,
+    "distinct": F.array_distinct,
+    "last": lambda windows: F.slice(windows, F.greatest(F.size(windows), F.lit(1)), 1),
+}
+
+
 def chunk(
     refined: DataFrame,
     max_chars: int = MAX_CHARS,
     overlap: int = OVERLAP,
     max_tokens: int = MAX_TOKENS,
+    keep: str = "all",
 ) -> DataFrame:
     """Refined articles to chunks: sections first, then token windows of each.
 
     Blank chunks are dropped here, before anything is embedded. ``pos`` numbers
-    the windows of an article in text order.
+    the kept windows of an article in text order. ``keep`` "distinct" drops
+    repeated windows of an article and "last" all but its last one, for stores
+    that would overwrite the others.
     """
     in_sections = refined.withColumn("_sections", sections(F.col("full_text"), max_chars, overlap))
     windows = F.flatten(
         F.transform("_sections", lambda section: token_windows(section, max_tokens))
     )
+    kept = KEEP[keep](F.filter(windows, lambda window: window != ""))
     chunks = in_sections.select(
-        "doc_id",
-        F.col("full_text").alias("full_raw_text"),
-        "metadata",
-        F.filter(windows, lambda window: window != "").alias("_windows"),
+        "doc_id", F.col("full_text").alias("full_raw_text"), "metadata", kept.alias("_windows")
     )
     exploded = chunks.select(
         "doc_id", "full_raw_text", "metadata", F.posexplode_outer("_windows").alias("pos", "text")

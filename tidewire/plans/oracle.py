@@ -2,7 +2,7 @@
 
 Written step by step from the meaning of each operator, not from the Spark
 plans: the fused cleaning patterns, for one, are spelled out here as the
-separate steps they stand for. ``knn_approximate`` has no SQL form.
+separate steps they stand for. ``knn_lsh`` has no SQL form.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ scored AS (
 ),
 single AS (SELECT * FROM scored {one_per_group}),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {ties}) AS rank
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {ties}))::INT AS rank
   FROM single
   QUALIFY rank <= 10
 )"""
@@ -242,13 +242,13 @@ SELECT doc_id, source FROM documents WHERE lang = 'en' AND
 {" AND ".join(_whole_word(word, "text") for word in TOPIC.split())}
 """,
     "latest_per_feed": """
-SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rank,
+SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id))::INT AS rank,
        event_id
 FROM events QUALIFY rank <= 10
 """,
     "store_latest": """
 WITH versions AS (
-  SELECT md5(text) AS doc_id, 'first' AS title, 0 AS batch_id, len(text) AS size FROM documents
+  SELECT md5(text) AS doc_id, 'first' AS title, 0::BIGINT AS batch_id, len(text) AS size FROM documents
   UNION
   SELECT md5(text), 'labelled', 1, len(text) FROM documents JOIN labels USING (doc_id)
 )
@@ -357,7 +357,7 @@ scored AS (
   FROM entries JOIN means USING (idx) GROUP BY ALL
 )
 SELECT topic, vec_id, round(score, 6) AS score,
-       row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, vec_id) AS rank
+       (row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, vec_id))::INT AS rank
 FROM scored QUALIFY rank <= 10
 """,
     "search_hits": f"""

@@ -350,7 +350,7 @@ def search_articles(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("item_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def knn_approximate(spark: SparkSession, folder: str) -> DataFrame:
+def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
     rows, questions, vectors = _vectors(spark, folder)
     cells = search.Cells(64, bits=5)
     assigned = cells.assign(rows.select("vec_id", "embedding"), "embedding")
@@ -417,7 +417,7 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_hits": search_hits,
     "search_filtered": search_filtered,
     "search_articles": search_articles,
-    "knn_approximate": knn_approximate,
+    "knn_lsh": knn_lsh,
     "ingest_counts": ingest_counts,
     "stream_ingest": stream_ingest,
 }

@@ -1,9 +1,10 @@
 """The vector store: Parquet tables written one batch at a time.
 
 ``points`` holds the chunks with vector and metadata, partitioned by batch.
-``keys`` holds one row per stored article URL, partitioned by a hash of the
-URL and by batch, so that asking which URLs are known opens only the
-directories the asked URLs fall into and never the vectors.
+``keys`` holds one narrow row per stored article, partitioned by a hash of its
+URL and by batch. Asking which URLs are known opens only the directories the
+asked URLs fall into, and finding out which points have several versions never
+touches the vectors.
 
 Writing batch N replaces partition N in both tables, and lookups for batch N
 only see earlier batches. A batch that fails half way can therefore be run
@@ -28,7 +29,11 @@ POINT_SCHEMA = (
     f"metadata struct<{', '.join(f'{name}: string' for name in METADATA_FIELDS)}>, "
     "batch_id bigint"
 )
-KEY_SCHEMA = "url string, url_bucket int, batch_id bigint"
+# "repeated" marks an article with several points of one identity in its batch.
+KEY_SCHEMA = "doc_id string, url string, repeated boolean, url_bucket int, batch_id bigint"
+# Articles with several versions are broadcast up to this number of ids (some
+# 10 MB) and joined by shuffle beyond it.
+BROADCAST_IDS = 200_000
 
 # What identifies a point, and which of several points with one identity is current.
 IDENTITY = {"chunk": ["doc_id", "chunk_id"], "document": ["doc_id"]}
@@ -59,9 +64,28 @@ class VectorStore:
         return self._read("points", POINT_SCHEMA)
 
     def current(self) -> DataFrame:
-        """The current version of each point: latest batch, then last position."""
+        """The current version of each point: latest batch, then last position.
+
+        Ingest stores an article once, so as a rule no point has a second
+        version and this is a plain scan. Which articles are the exception is
+        read from the keys when this is called; only their points are shuffled.
+        """
+        points, several = self.points(), self._several_versions()
+        found = several.limit(BROADCAST_IDS + 1).count()
+        if found == 0:
+            return points
+        if found <= BROADCAST_IDS:
+            several = F.broadcast(several)
         order = [F.col("batch_id").desc(), F.col("pos").desc(), F.col("chunk_id").asc()]
-        return top_n(self.points(), IDENTITY[self.granularity], order, 1, "_v").drop("_v")
+        versions = points.join(several, "doc_id", "left_semi")
+        latest = top_n(versions, IDENTITY[self.granularity], order, 1, "_v").drop("_v")
+        return points.join(several, "doc_id", "left_anti").unionByName(latest)
+
+    def _several_versions(self) -> DataFrame:
+        """Articles written more than once, or with a point repeated in a batch."""
+        written = self.keys().groupBy("doc_id")
+        counted = written.agg(F.count(F.lit(1)).alias("n"), F.bool_or("repeated").alias("again"))
+        return counted.where((F.col("n") > 1) | F.col("again")).select("doc_id")
 
     def keys(self, before: int | None = None) -> DataFrame:
         """URLs stored so far, or by batches earlier than ``before``."""
@@ -101,11 +125,14 @@ class VectorStore:
         """Upsert one batch of points (see ``POINT_COLUMNS``)."""
         batch = F.lit(batch_id).cast("bigint").alias("batch_id")
         self._overwrite(points.select(*POINT_COLUMNS, batch), "points", "batch_id")
-        # The URLs are read back from what was just stored.
-        url = F.col("metadata.url")
+        # The keys are read back from what was just stored, without the vectors.
         stored = self.points().where(F.col("batch_id") == batch_id)
-        keys = stored.select(url.alias("url"), self.bucket(url).alias("url_bucket"), batch)
-        keys = keys.distinct().hint("rebalance", "url_bucket")
+        kept = F.lit(1) if self.granularity == "document" else F.count_distinct("chunk_id")
+        articles = stored.groupBy("doc_id", F.col("metadata.url").alias("url")).agg(
+            (F.count(F.lit(1)) > kept).alias("repeated")
+        )
+        keys = articles.withColumn("url_bucket", self.bucket(F.col("url")))
+        keys = keys.withColumn("batch_id", batch).hint("rebalance", "url_bucket")
         self._overwrite(keys, "keys", "url_bucket", "batch_id")
 
     def _overwrite(self, rows: DataFrame, table: str, *partitions: str) -> None:

@@ -63,7 +63,9 @@ class Ingest:
             tasks = articles.sparkSession.sparkContext.defaultParallelism
         if tasks:
             refined = refined.repartition(tasks)
-        chunks = chunk(refined, self.max_chars, self.overlap, self.max_tokens)
+        # Windows the store would overwrite anyway are not embedded.
+        keep = "last" if self.store.granularity == "document" else "distinct"
+        chunks = chunk(refined, self.max_chars, self.overlap, self.max_tokens, keep)
         narrow = chunks.select("doc_id", "chunk_id", "pos", "text", "metadata")
         return embed_dense(narrow, model=self.model)
 
@@ -118,14 +120,17 @@ def with_arrival(landed: DataFrame) -> DataFrame:
 
 
 def stream_landing(
-    spark: SparkSession, landing: str, max_files: int | None = None
+    spark: SparkSession, landing: str, max_files: int | None = None, archive: str | None = None
 ) -> DataFrame:
     """The landing folder as a stream, one sub-folder per feed.
 
     ``max_files`` bounds a micro-batch. A look that finds nothing gives no
-    batch; the stream does not end by itself.
+    batch; the stream does not end by itself. With ``archive`` files are moved
+    there once ingested, which keeps the listing of the landing folder short.
     """
     reader = spark.readStream.schema("value string, feed string").format("text")
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return with_arrival(reader.load(landing))
