@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidewire.operators.counts import ingest_counts
 from tidewire.sources.feeds import landed_articles, read_landing, rejected, valid

@@ -2,7 +2,7 @@
 
 Written step by step from the meaning of each operator, not from the Spark
 plans: the fused cleaning patterns, for one, are spelled out here as the
-separate steps they stand for. ``knn_lsh`` has no SQL form.
+separate steps they stand for.
 """
 
 from __future__ import annotations
@@ -409,3 +409,6 @@ SELECT DISTINCT doc_id, md5(windows.text) AS chunk_id, len(windows.text)::INT AS
 FROM windows JOIN good USING (doc_id)
 """,
 }
+
+# Searching by cells is a way to the same result.
+ORACLES["knn_lsh"] = ORACLES["knn_topk"]

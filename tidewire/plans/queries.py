@@ -351,12 +351,11 @@ def search_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    """The same neighbours by way of cells: few at first, then those not ruled out."""
     rows, questions, vectors = _vectors(spark, folder)
     cells = search.Cells(64, bits=5)
     assigned = cells.assign(rows.select("vec_id", "embedding"), "embedding")
-    hits = search.nearest_approximate(
-        assigned, questions, vectors, cells, n_probe=12, ties=("vec_id",)
-    )
+    hits = search.nearest_in_cells(assigned, questions, vectors, cells, n_probe=8, ties=("vec_id",))
     return hits.select("topic", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -390,7 +389,9 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     stream = stream_landing(spark, landing, max_files=16)
     checkpoint = shared_folder(spark, "offsets")
     ingest_stream(stream, job, checkpoint, until_caught_up=True).start().awaitTermination()
-    return store.current().select("doc_id", "chunk_id", F.length("text").alias("n_chars"), "metadata.*")
+    return store.current().select(
+        "doc_id", "chunk_id", F.length("text").alias("n_chars"), "metadata.*"
+    )
 
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
