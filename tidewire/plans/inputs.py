@@ -1,8 +1,8 @@
 """The two feeds and the questions, derived from the given tables.
 
 Neither pages nor documents has a publication date or an image, so both follow
-from the id: the date is 2024-01-01 plus id minutes, written in one of five
-forms; every third article has no image.
+from the id: the date is 2024-01-01 plus id minutes (starting over after a
+year), written in one of five forms; every third article has no image.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from tidewire.operators.partitioning import spread
 
 AS_OF = "2024-02-01 00:00:00"
 FIRST_DAY = "2024-01-01 00:00:00"
+MINUTES_OF_YEAR = 365 * 24 * 60
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,7 +29,8 @@ def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def written_date(key: Column) -> Column:
     """ISO, ISO with offset, RFC-822, US, or unreadable, by id modulo 5."""
     day = F.lit(FIRST_DAY).cast("timestamp_ntz")
-    stamp = day + F.make_dt_interval(mins=key.cast("int"))
+    minutes = F.pmod(key, F.lit(MINUTES_OF_YEAR)).cast("int")
+    stamp = day + F.make_dt_interval(mins=minutes)
 
     def as_text(pattern: str) -> Column:
         return F.date_format(stamp, pattern)

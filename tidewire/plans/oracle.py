@@ -7,7 +7,7 @@ separate steps they stand for.
 
 from __future__ import annotations
 
-from tidewire.plans.inputs import AS_OF, FIRST_DAY
+from tidewire.plans.inputs import AS_OF, FIRST_DAY, MINUTES_OF_YEAR
 from tidewire.plans.queries import STORED_UNTIL, TOPIC
 
 # White space in any script, as a pattern class.
@@ -51,7 +51,7 @@ def _uuid(text: str) -> str:
 
 
 def _published(key: str) -> str:
-    stamp = f"TIMESTAMP '{FIRST_DAY}' + to_minutes({key}::INT)"
+    stamp = f"TIMESTAMP '{FIRST_DAY}' + to_minutes(({key} % {MINUTES_OF_YEAR})::INT)"
     shown = f"CASE WHEN {key} % 5 = 4 THEN TIMESTAMP '{AS_OF}' ELSE {stamp} END"
     return f"strftime({shown}, '%Y-%m-%d %H:%M:%S')"
 
@@ -277,7 +277,8 @@ SELECT 'benchmark', item_id::VARCHAR, {_clean("text")} FROM benchmark
 """,
     "parse_published": f"""
 WITH dated AS (
-  SELECT doc_id, TIMESTAMP '{FIRST_DAY}' + to_minutes(doc_id::INT) AS stamp FROM documents
+  SELECT doc_id, 
+         TIMESTAMP '{FIRST_DAY}' + to_minutes((doc_id % {MINUTES_OF_YEAR})::INT) AS stamp FROM documents
 ),
 written AS (
   SELECT doc_id, CASE doc_id % 5

@@ -279,7 +279,7 @@ def url_exists(spark: SparkSession, folder: str) -> DataFrame:
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest vectors to the mean vector of every label."""
     rows, questions, vectors = _vectors(spark, folder)
-    hits = search.nearest(rows, questions, vectors, ties=("vec_id",))
+    hits = search.nearest(rows.drop("label"), questions, vectors, ties=("vec_id",))
     return hits.select("topic", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 

@@ -33,6 +33,3 @@ COMMON = T.StructType(
 )
 
 METADATA_FIELDS = ("title", "url", "published_at", "source_name", "image_url")
-
-# One landed record: JSON text plus the feed it came from and where it stood.
-LANDED = T.StructType(_strings("value", "feed"))
