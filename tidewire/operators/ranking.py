@@ -10,7 +10,6 @@ from pyspark.sql import Window
 # the shuffle, so a hot group arrives as n rows per task. It is the default of
 # spark.sql.optimizer.windowGroupLimitThreshold.
 MAP_SIDE_LIMIT = 1000
-HOT_GROUP_SPLITS = 64
 
 
 def top_n(
@@ -23,8 +22,10 @@ def top_n(
     if n < 1:
         raise ValueError("n must be at least 1")
     if n > MAP_SIDE_LIMIT:
-        # Cut each group in splits first; the top n are among the splits' top n.
-        split = F.pmod(F.monotonically_increasing_id(), F.lit(HOT_GROUP_SPLITS))
+        # Cut each group in as many splits as a shuffle has partitions first;
+        # the top n are among the splits' top n.
+        splits = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        split = F.pmod(F.monotonically_increasing_id(), F.lit(splits))
         pre = Window.partitionBy(*group, "_split").orderBy(*order)
         rows = (
             rows.withColumn("_split", split)

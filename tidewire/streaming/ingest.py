@@ -95,7 +95,11 @@ class Ingest:
             numbered.unpersist()
 
     def run(self, landed: DataFrame, batch_id: int) -> None:
-        """Ingest a table of landed records as one batch."""
+        """Ingest a table of landed records as one batch.
+
+        A large backlog is better streamed with ``max_files``, which takes it
+        in batches that can each be repeated.
+        """
         self.store_batch(self.check(landed), batch_id)
 
     def _quarantine(self, bad: DataFrame, batch_id: int) -> None:
