@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewire.operators.chunk import chunk, refine
 from tidewire.operators.dedup import first_wins
 from tidewire.operators.embed import hashed_bag_model
+from tidewire.operators.search import search_stored
 from tidewire.sources.feeds import feed_rank, landed_articles, read_landing, valid
 from tidewire.sources.store import VectorStore
 from tidewire.streaming import ingest as stream
@@ -174,3 +175,17 @@ def test_document_granularity_stores_the_last_window(spark, tmp_path):
     kept = by_document.current().select("doc_id", "text")
     assert sorted(kept.collect()) == sorted(last.collect())
     assert by_chunk.current().count() > by_document.current().count() == 2
+
+
+def test_ingested_articles_are_found(spark, setting):
+    landing, store, run = setting
+    landing.add("a", *[a(i) for i in range(12)])
+    run()
+    asked = spark.createDataFrame([(1, "Headline 3, story NUMBER 3!"), (2, "?!")], "q int, text string")
+    hits = search_stored(store.current(), asked, 5, question="q").orderBy("rank").collect()
+    assert [r.q for r in hits] == [1] * 5  # nothing is asked by the second question
+    assert (hits[0].title, hits[0].url) == ("headline 3", "http://a/3")
+    assert len({r.url for r in hits}) == 5  # chunks are collapsed to articles
+    assert hits[0].score_percent == f"{100 * hits[0].score:.2f}%"
+    part = store.current().where(F.col("metadata.url") == "http://a/5")
+    assert [r.title for r in search_stored(part, asked, question="q").collect()] == ["headline 5"]
