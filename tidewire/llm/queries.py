@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import packing, token_counts
+from tidewire.llm import codec, packing, simhash, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,9 +36,31 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_global_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document by byte-level BPE, and their bytes again."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = codec.encode(_table(spark, folder, "documents"), ranks)
+    decimal = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return codec.decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(_table(spark, folder, "documents"), radius=4, words=4)
+    digits = F.lower(F.lpad(F.hex("bits"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_token_counts": op3_token_counts,
+    "op7_global_words": op7_global_words,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
