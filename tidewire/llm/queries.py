@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import codec, packing, simhash, token_counts
+from tidewire.llm import codec, packing, quality, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,30 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Word statistics of every document and whether the quality rules keep it."""
+    return quality.quality(_table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def op5_compression_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels of a quarter of the ids are held out."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.learned(docs, labels.where(~held_out))
+    return toxicity.scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
 def op7_global_words(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document by byte-level BPE, and their bytes again."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,6 +83,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_robust_outliers": op4_robust_outliers,
+    "op5_compression_distance": op5_compression_distance,
     "op7_global_words": op7_global_words,
     "op10_simhash": op10_simhash,
 }
