@@ -41,3 +41,9 @@ def row_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[d
 def parts(rows: DataFrame) -> int:
     """The number of shuffle partitions of the session."""
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_text(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """``columns`` of ``rows`` with another ``text``; ``n_chars``, if there, counts it."""
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return rows.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns))

@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import codec, packing, quality, simhash, token_counts, toxicity
+from tidewire.llm import (
+    codec,
+    packing,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +68,18 @@ def op5_compression_distance(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that a 100-byte string repeats from further ahead, removed."""
+    cut = suffix_dedup.remove_later_copies(_table(spark, folder, "documents"), 100)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_global_words(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document by byte-level BPE, and their bytes again."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -85,6 +105,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_robust_outliers": op4_robust_outliers,
     "op5_compression_distance": op5_compression_distance,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_global_words": op7_global_words,
     "op10_simhash": op10_simhash,
 }
