@@ -11,6 +11,7 @@ from tidewire.llm import (
     packing,
     quality,
     simhash,
+    substring_dedup,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -93,6 +94,17 @@ def op7_global_words(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that a 20-word window repeats from further ahead, removed."""
+    cut = substring_dedup.remove_repeated_windows(_table(spark, folder, "documents"), 20)
+    return cut.select(
+        "doc_id",
+        "n_words",
+        F.col("removed").alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, folder, "documents"), radius=4, words=4)
@@ -107,6 +119,7 @@ QUERIES = {
     "op5_compression_distance": op5_compression_distance,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_global_words": op7_global_words,
+    "op8_difference_cover": op8_difference_cover,
     "op10_simhash": op10_simhash,
 }
 
