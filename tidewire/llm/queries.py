@@ -10,12 +10,14 @@ from tidewire.llm import (
     codec,
     packing,
     quality,
+    secrets,
     simhash,
     substring_dedup,
     suffix_dedup,
     token_counts,
     toxicity,
 )
+from tidewire.plans.session import shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +40,23 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, found through a ledger of blobs that begins empty."""
+    found = secrets.scan(_table(spark, folder, "documents"), shared_folder(spark, "ledger"))
+    names = [rule.name for rule in secrets.BASE]
+    base = F.filter("findings", lambda f: f["kind"].isin(names))
+    counts = [
+        F.size(F.expr(f"filter(findings, f -> f.kind = '{name}')")).cast("long").alias(f"n_{name}")
+        for name in names
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.col("findings")).alias("spans"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.token_counts(
@@ -114,6 +133,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_blob_ledger": op2_blob_ledger,
     "op3_token_counts": op3_token_counts,
     "op4_robust_outliers": op4_robust_outliers,
     "op5_compression_distance": op5_compression_distance,
