@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import (
     codec,
+    metric_tree,
     packing,
     quality,
     secrets,
@@ -124,6 +125,13 @@ def op8_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_metric_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector with all others."""
+    return metric_tree.nearest(
+        _table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256
+    )
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, folder, "documents"), radius=4, words=4)
@@ -140,6 +148,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_global_words": op7_global_words,
     "op8_difference_cover": op8_difference_cover,
+    "op9_metric_tree": op9_metric_tree,
     "op10_simhash": op10_simhash,
 }
 
