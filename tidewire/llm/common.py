@@ -45,5 +45,7 @@ def parts(rows: DataFrame) -> int:
 
 def with_text(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
     """``columns`` of ``rows`` with another ``text``; ``n_chars``, if there, counts it."""
-    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return rows.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns))
+    changed = rows.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns))
+    if "n_chars" not in columns:
+        return changed
+    return changed.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -18,6 +18,7 @@ from tidewire.llm import (
     token_counts,
     toxicity,
 )
+from tidewire.llm.oracle import ORACLES  # noqa: F401
 from tidewire.plans.session import shared_folder
 
 
@@ -151,5 +152,3 @@ QUERIES = {
     "op9_metric_tree": op9_metric_tree,
     "op10_simhash": op10_simhash,
 }
-
-ORACLES: dict[str, str] = {}
