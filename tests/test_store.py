@@ -31,9 +31,7 @@ def test_upsert_keeps_the_latest_version(spark, tmp_path):
     store.write(points(spark, ("d1", "c1", 0, "old", "u1"), ("d1", "c2", 1, "old", "u1")), 0)
     store.write(points(spark, ("d1", "c1", 0, "new", "u1"), ("d2", "c3", 0, "new", "u2")), 1)
     rows = store.current().select("doc_id", "chunk_id", "metadata.title").collect()
-    assert sorted(map(tuple, rows)) == [
-        ("d1", "c1", "new"), ("d1", "c2", "old"), ("d2", "c3", "new")
-    ]
+    assert sorted(map(tuple, rows)) == [("d1", "c1", "new"), ("d2", "c3", "new")]
     assert store.points().count() == 4
 
 
@@ -102,11 +100,73 @@ def test_only_articles_with_versions_are_shuffled(spark, tmp_path, plan_of):
     assert (titles["d1", "c"], titles["d8", "c"], titles["d0", "c"]) == ("new", "p1", "t")
 
 
-def test_many_versions_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
-    from tidewire.sources import store as module
+def test_an_article_under_a_new_link_has_one_version(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "s"))
+    store.write(points(spark, ("d1", "old1", 0, "t", "u1"), ("d1", "old2", 1, "t", "u1")), 0)
+    store.write(points(spark, ("d1", "new", 0, "t", "u2")), 1)
+    assert [r.chunk_id for r in store.current().collect()] == ["new"]
+
+
+def test_another_writer_overwrites_nothing(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "s"))
+    rows = [(f"d{i}", f"c{i}", 0, "t", f"u{i}") for i in range(8)]
+    store.write(points(spark, *rows[:5]), 0, "one")
+    asked = points(spark, *rows[3:]).withColumn("url", F.col("metadata.url"))
+    for _ in range(2):  # the second time as a retry
+        fresh = store.only_new(asked, 0, writer="two").drop("url")
+        store.write(fresh, 0, "two")
+    assert sorted(r.doc_id for r in store.current().collect()) == [f"d{i}" for i in range(8)]
+    assert store.points().count() == 8 and store.keys().count() == 8
+
 
+def test_a_vector_of_another_size_is_refused(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "s"))
-    for batch in range(2):
-        store.write(points(spark, *[(f"d{i}", "c", 0, f"t{batch}", f"u{i}") for i in range(6)]), batch)
-    monkeypatch.setattr(module, "BROADCAST_IDS", 3)
-    assert [r.metadata.title for r in store.current().collect()] == ["t1"] * 6
+    store.write(points(spark, ("d1", "c1", 0, "t", "u1")), 0)
+    longer = points(spark, ("d2", "c2", 0, "t", "u2")).withColumn(
+        "embedding", F.array(*[F.lit(0.5).cast("float")] * 3)
+    )
+    with pytest.raises(Exception, match="size 3 in a store of size 2"):
+        store.write(longer, 1)
+    declared = VectorStore(spark, str(tmp_path / "t"), dimensions=3)
+    declared.write(longer, 0)
+    with pytest.raises(Exception, match="size 2 in a store of size 3"):
+        declared.write(points(spark, ("d1", "c1", 0, "t", "u1")), 1)
+
+
+def test_an_empty_batch_stores_nothing(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "s"))
+    store.write(points(spark, ("d1", "c1", 0, "t", "u1")).limit(0), 0)
+    assert store.current().count() == 0
+    store.write(points(spark, ("d1", "c1", 0, "t", "u1")), 1)
+    assert store.current().count() == 1
+
+
+def test_a_hot_key_is_split(spark):
+    """Three quarters of the rows ask for one URL."""
+    from tidewire.operators.dedup import exists_in
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        hot = F.when(F.col("id") % 4 != 0, F.lit("N/A")).otherwise(F.col("id").cast("string"))
+        rows = spark.range(0, 40_000, 1, 8).select(hot.alias("url"), F.expr("uuid()").alias("pad"))
+        keys = spark.range(1000).select(F.col("id").cast("string").alias("url"))
+        found = exists_in(rows, keys)
+        found.write.format("noop").mode("overwrite").save()
+        flags = {r.stored: r["count"] for r in found.groupBy("stored").count().collect()}
+        assert flags == {True: 250, False: 39_750}
+        done = found._jdf.queryExecution().executedPlan()
+        found.collect()
+        assert "skew=true" in done.toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

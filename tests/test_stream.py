@@ -127,8 +127,8 @@ def test_a_batch_that_fails_after_writing_is_repeated_safely(setting, monkeypatc
         landing.add("a", a(i), a(i, title="again"))
     original = stream.Ingest.store_batch
 
-    def fails_once(self, checked, batch_id):
-        original(self, checked, batch_id)
+    def fails_once(self, checked, batch_id, writer):
+        original(self, checked, batch_id, writer)
         if batch_id == 1:
             raise RuntimeError("lost after the write")
 
@@ -142,6 +142,22 @@ def test_a_batch_that_fails_after_writing_is_repeated_safely(setting, monkeypatc
     assert {r[2] for r in versions.collect()} == {1}
 
 
+def test_a_new_checkpoint_overwrites_nothing(spark, setting, tmp_path):
+    """Its batches count from 0 again; what is stored is skipped, the rest is added."""
+    landing, store, run = setting
+    landing.add("a", *[a(i) for i in range(5)])
+    run()
+    other = Landing(tmp_path / "other")
+    other.add("a", *[a(i) for i in range(3, 8)])
+    job = stream.Ingest(store, AS_OF, max_tokens=30, embed_tasks=2)
+    landed = stream.stream_landing(spark, str(other.root))
+    again = stream.ingest_stream(landed, job, str(tmp_path / "second"), until_caught_up=True)
+    again.start().awaitTermination()
+    urls = {r.metadata.url for r in store.current().collect()}
+    assert urls == {f"http://a/{i}" for i in range(8)}
+    assert store.keys().count() == 8
+
+
 def test_selection_and_model_are_pluggable(setting):
     landing, store, run = setting
     landing.add("a", *[a(i) for i in range(10)])

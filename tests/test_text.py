@@ -76,9 +76,8 @@ def test_whitespace_of_every_kind(spark):
 
 def test_small_steps(spark):
     assert apply(spark, ["a<br/>b<p x='1'>c"], X.strip_tags) == ["abc"]
-    assert apply(spark, ["“q” it’s &apos;"], X.straighten_quotes) == ["\"q\" it's '"]
-    assert apply(spark, ["naïve–x"], X.drop_non_ascii) == ["navex"]
-    assert apply(spark, ["a.b,c«d»$"], X.drop_punctuation) == ["abcd$"]
+    texts = ["“q” it’s &apos;", "naïve–x", "a.b,c«d»$", "&apos;• x", "a.&apos;b", "•&apos; x"]
+    assert apply(spark, texts, X.clean_full) == ["q its ", "nave x", "abcd$", " x", "ab", " x"]
 
 
 @pytest.mark.parametrize(

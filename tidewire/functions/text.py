@@ -25,8 +25,6 @@ SPACE_CHARS = (
 DASHES_AND_BREAKS = r"\-–\xa0\n"
 # Leading list markers; one of them is dropped.
 BULLETS = "\u0095·•‣⁃⁌⁍∙○●◘◦☙❥❧⦾⦿\u3164*"
-QUOTES = "‘’“”\u0091\u0092\u0093\u0094"
-QUOTES_PLAIN = "''\"\"''\"\""
 # ---------------------------------------------------------------------------
 
 
@@ -45,20 +43,6 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
 
 
-def straighten_quotes(text: Column) -> Column:
-    """Curly quotes (and the &apos; entity) to their ASCII forms."""
-    return F.translate(F.replace(text, F.lit("&apos;"), F.lit("'")), QUOTES, QUOTES_PLAIN)
-
-
-def drop_non_ascii(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\x00-\x7F]+", "")
-
-
-def drop_punctuation(text: Column) -> Column:
-    """Delete Unicode category P; symbols such as ``$ + < = >`` stay."""
-    return F.regexp_replace(text, r"\p{P}+", "")
-
-
 def clean_full(text: Column) -> Column:
     """Lowercase, dashes, white space, leading bullet, quotes, non-ASCII, punctuation.
 
@@ -72,9 +56,8 @@ def clean_full(text: Column) -> Column:
     breaks = DASHES_AND_BREAKS
     run = f"[{breaks}][{breaks} ]*| [{breaks} ]+"
     trimmed = strip_space(F.regexp_replace(F.lower(text), run, " "))
-    unquoted = F.replace(trimmed, F.lit("&apos;"), F.lit(""))
-    deleted = f"(?U)^[{BULLETS}]{SPACE}*|" + r"[\p{P}[^\x00-\x7F]]+"
-    return F.regexp_replace(unquoted, deleted, "")
+    deleted = f"(?U)^[{BULLETS}]{SPACE}*|&apos;|" + r"[\p{P}[^\x00-\x7F]]"
+    return F.regexp_replace(trimmed, deleted, "")
 
 
 def clean_text_or_na(text: Column) -> Column:

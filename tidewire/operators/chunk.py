@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pandas as pd
@@ -102,30 +103,75 @@ def sections(text: Column, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> Co
     return F.coalesce(split_long(long_text), short)
 
 
-def token_windows(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    """Consecutive windows of ``max_tokens`` words, without overlap.
+@dataclass(frozen=True)
+class Tokens:
+    """How a text is cut into tokens, and what joins a window's tokens to text again.
+
+    ``cut`` takes a text column and gives its array of tokens: an expression,
+    or a batched UDF around a model's own tokenizer. The default is words.
+    """
+
+    cut: Callable[[Column], Column] = words
+    joined_by: str = " "
+
+
+def token_windows(
+    text: Column, max_tokens: int = MAX_TOKENS, tokens: Tokens = Tokens()
+) -> Column:
+    """Consecutive windows of ``max_tokens`` tokens, without overlap.
 
     Blank text gives one empty window.
     """
 
-    def cut(tokens: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(max_tokens))
-        return F.transform(starts, lambda at: F.array_join(F.slice(tokens, at, max_tokens), " "))
+    def cut(found: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(max_tokens))
+
+        def window(at: Column) -> Column:
+            return strip_space(F.array_join(F.slice(found, at, max_tokens), tokens.joined_by))
 
-    return let(words(text), cut)
+        return F.transform(starts, window)
+
+    return let(tokens.cut(text), cut)
 
 
 def explode_windows(
-    rows: DataFrame, text: str, *parents: str, max_tokens: int = MAX_TOKENS
+    rows: DataFrame,
+    text: str,
+    *parents: str,
+    max_tokens: int = MAX_TOKENS,
+    tokens: Tokens = Tokens(),
 ) -> DataFrame:
     """One row per token window of ``text``: parents, ``pos``, ``chunk_id``, ``text``."""
-    windows = rows.select(*parents, token_windows(F.col(text), max_tokens).alias("_windows"))
+    cut = token_windows(F.col(text), max_tokens, tokens)
+    windows = rows.select(*parents, cut.alias("_windows"))
     # There is always a window, so the outer form changes nothing in the result;
     # it spares the derived filter that would cut the text a second time.
     exploded = windows.select(*parents, F.posexplode_outer("_windows").alias("pos", "text"))
     return exploded.select(*parents, "pos", content_id(F.col("text")).alias("chunk_id"), "text")
 
 
+def _plugged_windows(
+    in_sections: DataFrame, max_tokens: int, tokens: Tokens
+) -> tuple[DataFrame, Column]:
+    """Windows by a tokenizer that may be a UDF, which can't run inside a lambda.
+
+    All sections of an article go through it one after the other, as rows; the
+    number of the section keeps their order.
+    """
+    numbered = in_sections.withColumn("_article", F.monotonically_increasing_id())
+    each = numbered.select("*", F.posexplode_outer("_sections").alias("_no", "_section"))
+    cut = each.withColumn(
+        "_cut", token_windows(F.coalesce("_section", F.lit("")), max_tokens, tokens)
+    )
+    # One shuffle by article; a group is one article's sections.
+    whole = [c for c in in_sections.columns if c != "_sections"]
+    together = cut.groupBy("_article").agg(
+        *(F.first(c).alias(c) for c in whole),
+        F.array_sort(F.collect_list(F.struct("_no", "_cut"))).alias("_parts"),
+    )
+    return together, F.flatten(F.col("_parts._cut"))
+
+
 KEEP: dict[str, Callable[[Column], Column]] = {
     "all": lambda windows: windows,
     "distinct": F.array_distinct,
@@ -139,18 +185,22 @@ def chunk(
     overlap: int = OVERLAP,
     max_tokens: int = MAX_TOKENS,
     keep: str = "all",
+    tokens: Tokens = Tokens(),
 ) -> DataFrame:
     """Refined articles to chunks: sections first, then token windows of each.
 
     Blank chunks are dropped here, before anything is embedded. ``pos`` numbers
     the kept windows of an article in text order. ``keep`` "distinct" drops
     repeated windows of an article and "last" all but its last one, for stores
-    that would overwrite the others.
+    that would overwrite the others. ``tokens`` plugs in a tokenizer.
     """
     in_sections = refined.withColumn("_sections", sections(F.col("full_text"), max_chars, overlap))
-    windows = F.flatten(
-        F.transform("_sections", lambda section: token_windows(section, max_tokens))
-    )
+    if tokens.cut is words:
+        windows = F.flatten(
+            F.transform("_sections", lambda section: token_windows(section, max_tokens))
+        )
+    else:
+        in_sections, windows = _plugged_windows(in_sections, max_tokens, tokens)
     kept = KEEP[keep](F.filter(windows, lambda window: window != ""))
     chunks = in_sections.select(
         "doc_id", F.col("full_text").alias("full_raw_text"), "metadata", kept.alias("_windows")

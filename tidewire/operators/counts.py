@@ -17,9 +17,10 @@ def ingest_counts(records: DataFrame, url: str = "url", reason: str = "reason")
         F.count(F.lit(1)).alias("fetched"),
         F.count(reason).alias("rejected"),
         F.count_distinct(url).alias("unique_urls"),
+        F.grouping("feed").alias("_all"),
     )
     return counted.select(
-        F.coalesce("feed", F.lit("all")).alias("feed"),
+        F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("feed")).alias("feed"),
         "fetched",
         "rejected",
         "unique_urls",

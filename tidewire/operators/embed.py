@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -13,6 +14,10 @@ from pyspark.sql import types as T
 
 from tidewire.functions.text import strip_space
 from tidewire.functions.vectors import DIMENSIONS, HASH_DIGITS, sparse_vector
+from tidewire.operators.partitioning import computed_once
+
+# Words a Python worker remembers.
+REMEMBERED = 200_000
 
 # Takes an array of texts, returns one vector per row.
 Predict = Callable[[np.ndarray], np.ndarray]
@@ -21,18 +26,14 @@ Predict = Callable[[np.ndarray], np.ndarray]
 def hashed_bag_model(dimensions: int = DIMENSIONS) -> Callable[[], Predict]:
     """Factory of the hashed bag-of-words model, the dense twin of ``sparse_vector``.
 
-    It needs no weights. Each distinct word is hashed once per worker.
+    It needs no weights. A worker remembers the buckets of its latest words.
     """
 
     def load() -> Predict:
-        known: dict[str, int] = {}
-
+        @lru_cache(maxsize=REMEMBERED)
         def bucket(word: str) -> int:
-            found = known.get(word)
-            if found is None:
-                head = hashlib.md5(word.encode()).hexdigest()[:HASH_DIGITS]
-                found = known[word] = int(head, 16) % dimensions
-            return found
+            head = hashlib.md5(word.encode()).hexdigest()[:HASH_DIGITS]
+            return int(head, 16) % dimensions
 
         def predict(texts: np.ndarray) -> np.ndarray:
             tokens = [text.split() for text in texts]
@@ -71,8 +72,14 @@ def embed_dense(
     model: Callable[[], Predict] | None = None,
     batch_size: int = 1024,
 ) -> DataFrame:
-    """Add ``embedding``; blank texts are removed first."""
-    return not_blank(rows, text).withColumn("embedding", dense_vector(F.col(text), model, batch_size))
+    """Add ``embedding``; blank texts are removed first. The model sees a text once.
+
+    A filter on the vector, or one the optimizer derives from an explode of
+    it, would else be pushed below the model and run it a second time.
+    """
+    return computed_once(
+        not_blank(rows, text), "embedding", dense_vector(F.col(text), model, batch_size)
+    )
 
 
 def embed_sparse(

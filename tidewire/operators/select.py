@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.dates import within_hours
@@ -20,11 +20,21 @@ def recent(
 
 
 def on_topic(
-    articles: DataFrame, topic: str, *text: str, language: str = "en", language_column: str = "lang"
+    articles: DataFrame,
+    topic: str,
+    *text: str,
+    language: str | None = "en",
+    language_column: str = "lang",
 ) -> DataFrame:
-    """Articles in ``language`` that mention every word of ``topic``."""
-    columns: list[Column] = [F.col(name) for name in text]
-    return articles.where((F.col(language_column) == language) & mentions_all(topic, *columns))
+    """Articles in ``language`` that mention every word of ``topic``.
+
+    Common articles carry their language in ``language``, null where the feed
+    says none. With ``language=None`` any language will do.
+    """
+    found = mentions_all(topic, *[F.col(name) for name in text])
+    if language is not None:
+        found = found & (F.col(language_column) == language)
+    return articles.where(found)
 
 
 def latest_per_feed(

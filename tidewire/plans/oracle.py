@@ -111,8 +111,10 @@ windows AS (
 )"""
 
 
-def _cosine_search(corpus: str, keys: str, ties: str, group: str = "") -> str:
-    """CTEs from ``corpus(text, keys...)`` to ``ranked``: ten per question."""
+def _cosine_search(
+    corpus: str, keys: str, ties: str, group: str = "", asked: str = "benchmark", k: int = 10
+) -> str:
+    """CTEs from ``corpus(text, keys...)`` to ``ranked``: ``k`` per question of ``asked``."""
     bucket = "('0x' || substr(md5(word), 1, 8))::BIGINT % 384"
     one_per_group = (
         f"QUALIFY row_number() OVER (PARTITION BY item_id, {group} ORDER BY score DESC, {ties}) = 1"
@@ -129,7 +131,7 @@ row_terms AS (
 row_norms AS (SELECT row_id, sqrt(sum(tf * tf)) AS norm FROM row_terms GROUP BY row_id),
 asked_terms AS (
   SELECT item_id, {bucket} AS bucket, count(*) AS tf
-  FROM (SELECT item_id, unnest({_words(_clean("text"))}) AS word FROM benchmark)
+  FROM (SELECT item_id, unnest({_words(_clean("text"))}) AS word FROM {asked})
   GROUP BY ALL
 ),
 asked_norms AS (SELECT item_id, sqrt(sum(tf * tf)) AS norm FROM asked_terms GROUP BY item_id),
@@ -147,7 +149,7 @@ single AS (SELECT * FROM scored {one_per_group}),
 ranked AS (
   SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {ties}))::INT AS rank
   FROM single
-  QUALIFY rank <= 10
+  QUALIFY rank <= {k}
 )"""
 
 
@@ -307,6 +309,16 @@ SELECT doc_id, pos, len(section)::INT AS n_chars, md5(section) AS section_id FRO
     "chunk_tokens": f"""
 WITH {WINDOWED}
 SELECT doc_id, source, pos, md5(text) AS chunk_id, text FROM windows
+""",
+    "chunk_subwords": f"""
+WITH cleaned AS (SELECT doc_id, {_clean("text")} AS text FROM documents),
+tokens AS (SELECT doc_id, regexp_extract_all(text, ' ?[^ ]{{1,5}}') AS pieces FROM cleaned),
+windows AS (
+  SELECT doc_id, (idx // 254)::INT AS pos,
+         {_strip("array_to_string(list_slice(pieces, idx + 1, idx + 254), '')")} AS text
+  FROM (SELECT *, unnest(range(0, greatest(len(pieces), 1), 254)) AS idx FROM tokens)
+)
+SELECT doc_id, pos, md5(text) AS chunk_id, text FROM windows
 """,
     "embed_dense": f"""
 WITH {WINDOWED},
@@ -317,7 +329,7 @@ terms AS (
   GROUP BY ALL
 )
 SELECT doc_id, pos, bucket,
-       round((tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id, pos)))::FLOAT::DOUBLE, 4) AS weight
+       round((tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id, pos)))::FLOAT::DOUBLE, 6) AS weight
 FROM terms
 """,
     "embed_sparse": f"""
@@ -369,6 +381,16 @@ WITH {REFINED},
 SELECT item_id, rank, round(score, 6) AS score, printf('%.2f%%', 100 * score) AS score_percent,
        title, image_url, published_at AS date, url
 FROM ranked
+""",
+    "search_many": f"""
+WITH first_lines AS (
+  SELECT doc_id AS item_id,
+         CASE WHEN doc_id % 10 = 0 THEN '...' ELSE split_part(text, chr(10), 1) END AS text
+  FROM documents),
+{_cosine_search(
+    f'SELECT doc_id, {_clean("text")} AS text FROM documents', "doc_id", "doc_id",
+    asked="first_lines", k=3)}
+SELECT item_id, rank, doc_id, round(score, 6) AS score FROM ranked
 """,
     "search_filtered": f"""
 WITH {REFINED},
@@ -385,19 +407,18 @@ WITH {WINDOWED},
 SELECT item_id, rank, doc_id, chunk_id, round(score, 6) AS score FROM ranked
 """,
     "ingest_counts": f"""
-WITH {REASONS}
-SELECT coalesce(feed, 'all') AS feed, count(*) AS fetched, count(reason) AS rejected,
-       count(DISTINCT link) FILTER (reason IS NULL) AS unique_urls,
+WITH {FEEDS}, delivered AS (SELECT feed, url FROM articles, range(2))
+SELECT CASE WHEN grouping(feed) = 1 THEN 'all' ELSE feed END AS feed, count(*) AS fetched,
+       0::BIGINT AS rejected, count(DISTINCT url) AS unique_urls,
        fetched - rejected - unique_urls AS duplicates
-FROM reasons GROUP BY ROLLUP (feed)
+FROM delivered GROUP BY ROLLUP (feed)
 """,
     "stream_ingest": f"""
-WITH {REASONS}, {FEEDS},
+WITH {FEEDS},
 good AS (
   SELECT article_id AS doc_id, title, url, published_at, source_name, image_url,
-         title || '.' ||
-         CASE WHEN feed = 'b' AND key % 9 = 4 THEN 'N/A' ELSE description END AS text
-  FROM articles JOIN reasons USING (feed, key) WHERE reason IS NULL
+         title || '.' || description AS text
+  FROM articles
 ),
 {_sections("SELECT doc_id, text FROM good")},
 tokens AS (SELECT doc_id, {_words("section")} AS words FROM sections),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.dates import format_timestamp, parse_timestamp, published_timestamp
@@ -34,10 +34,12 @@ from tidewire.sources.feeds import (
     common_from_a,
     common_from_b,
     feed_rank,
+    landed_articles,
     parse_records,
+    read_landing,
 )
 from tidewire.sources.store import VectorStore
-from tidewire.streaming.ingest import Ingest, ingest_stream, stream_landing
+from tidewire.streaming.ingest import Ingest, ingest_stream, stream_landing, with_arrival
 
 TOPIC = "the that"
 # Articles up to this time count as stored already, later ones as incoming.
@@ -93,17 +95,17 @@ def latest_per_feed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """Store all documents, then upsert the labelled ones with a new title."""
+    """Store all documents, then the labelled ones again with a new title and other chunks."""
     store = VectorStore(spark, shared_folder(spark, "store"))
     documents = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").select("doc_id", "quality")
 
-    def points(rows: DataFrame, title) -> DataFrame:
+    def points(rows: DataFrame, title: Column) -> DataFrame:
         key = content_id(F.col("text"))
         none = F.lit(None).cast("string")
         return rows.select(
             key.alias("doc_id"),
-            key.alias("chunk_id"),
+            F.concat_ws("-", title, key).alias("chunk_id"),
             F.lit(0).alias("pos"),
             "text",
             F.array(F.length("text").cast("float")).alias("embedding"),
@@ -131,7 +133,7 @@ def store_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def common_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return _articles(spark, folder).drop("pos", "published_ts")
+    return _articles(spark, folder).drop("pos", "published_ts", "language")
 
 
 def validate_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,6 +210,19 @@ def chunk_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.explode_windows(cleaned, "full_raw_text", "doc_id", "source")
 
 
+def chunk_subwords(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 254 pieces of at most five letters, as a subword tokenizer would cut."""
+
+    def cut(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(" ?[^ ]{1,5}"), F.lit(0))
+
+    cleaned = texts(spark, folder, "documents").select(
+        "doc_id", clean_full(F.col("text")).alias("cleaned")
+    )
+    tokens = chunks.Tokens(cut, joined_by="")
+    return chunks.explode_windows(cleaned, "cleaned", "doc_id", tokens=tokens)
+
+
 def _windows(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = texts(spark, folder, "documents").select(
         "doc_id", clean_full(F.col("text")).alias("cleaned")
@@ -220,11 +235,13 @@ def _windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def embed_dense(spark: SparkSession, folder: str) -> DataFrame:
     """Non-zero weights of the model's vectors, one row each."""
-    vectors = dense(_windows(spark, folder)).select(
-        "doc_id", "pos", F.posexplode("embedding").alias("bucket", "weight")
+    entries = F.filter(
+        F.transform("embedding", lambda x, at: F.struct(at.alias("bucket"), x.alias("weight"))),
+        lambda entry: entry["weight"] != 0,
     )
-    return vectors.where(F.col("weight") != 0).select(
-        "doc_id", "pos", "bucket", F.round(F.col("weight").cast("double"), 4).alias("weight")
+    vectors = dense(_windows(spark, folder)).select("doc_id", "pos", F.explode(entries).alias("e"))
+    return vectors.select("doc_id", "pos", "e.*").select(
+        "doc_id", "pos", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight")
     )
 
 
@@ -311,6 +328,46 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def search_many(spark: SparkSession, folder: str) -> DataFrame:
+    """The first line of every document as a question, some of them blank, in several blocks."""
+    cleaned = texts(spark, folder, "documents").select(
+        "doc_id", clean_full(F.col("text")).alias("cleaned")
+    )
+    line = F.substring_index("text", "\n", 1)
+    asked = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("item_id"),
+        F.when(F.col("doc_id") % 10 == 0, F.lit("...")).otherwise(line).alias("text"),
+    )
+    hits = search.search_text(
+        cleaned, asked, 3, text="cleaned", ties=("doc_id",), question="item_id", block_rows=512
+    )
+    return hits.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _ingested(spark: SparkSession, folder: str) -> VectorStore:
+    """Both feeds landed and ingested as one batch."""
+    landing = shared_folder(spark, "landing")
+    lines = landed_lines(spark, folder, damage=False).select("feed", "value")
+    lines.write.partitionBy("feed").text(landing)
+    store = VectorStore(spark, shared_folder(spark, "store"), dimensions=384)
+    Ingest(store, AS_OF).run(with_arrival(read_landing(spark, landing)), 0)
+    return store
+
+
+def search_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions against the ingested store, whose vectors are read as they are."""
+    points = _ingested(spark, folder).current()
+    hits = search.search_stored(points, table(spark, folder, "benchmark"), question="item_id")
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def search_stored_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """The same among the articles of one source; the filter reaches the store's scan."""
+    points = _ingested(spark, folder).current().where(F.col("metadata.source_name") == "src3")
+    hits = search.search_stored(points, table(spark, folder, "benchmark"), question="item_id")
+    return hits.withColumn("score", F.round("score", 6))
+
+
 def search_hits(spark: SparkSession, folder: str) -> DataFrame:
     """Hits over the articles of both feeds, as shown on a result page."""
     hits = search.search_text(
@@ -350,27 +407,46 @@ def search_articles(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("item_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    """The same neighbours by way of cells: few at first, then those not ruled out."""
+def _in_cells(spark: SparkSession, folder: str):
+    """Vectors stored by cell, so that a search opens only the cells it probes."""
     rows, questions, vectors = _vectors(spark, folder)
     cells = search.Cells(64, bits=5)
-    assigned = cells.assign(rows.select("vec_id", "embedding"), "embedding")
+    path = shared_folder(spark, "cells")
+    search.write_cells(rows.select("vec_id", "embedding"), "embedding", cells, path)
+    return spark.read.parquet(path), questions, vectors, cells
+
+
+def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    """The same neighbours by way of cells: few at first, then those not ruled out."""
+    assigned, questions, vectors, cells = _in_cells(spark, folder)
     hits = search.nearest_in_cells(assigned, questions, vectors, cells, n_probe=8, ties=("vec_id",))
     return hits.select("topic", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def knn_lsh_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """One pass over the nearest cells only: recall and share of all pairs scored."""
+    assigned, questions, vectors, cells = _in_cells(spark, folder)
+    near = search.nearest_in_cells(
+        assigned, questions, vectors, cells, n_probe=12, ties=("vec_id",), exact=False
+    )
+    share = search.pairs_scored(assigned, questions, vectors, cells, 12)
+    exact = knn_topk(spark, folder).select("topic", "vec_id")
+    found = exact.join(near.select("topic", "vec_id", F.lit(1).alias("hit")), ["topic", "vec_id"], "left")
+    return found.agg(
+        F.round(F.count("hit") / F.count("*"), 6).alias("recall"),
+        F.lit(round(share, 6)).alias("share_of_pairs"),
+    )
+
+
 # --- monitoring and the pipeline
 
 
 def ingest_counts(spark: SparkSession, folder: str) -> DataFrame:
-    lines = landed_lines(spark, folder)
-    parts = []
-    for feed, link in ((FEED_A_SPEC, "url"), (FEED_B_SPEC, "link")):
-        parsed = parse_records(lines.where(F.col("feed") == feed.name), feed)
-        parts.append(parsed.select("feed", "reason", F.col(f"record.{link}").alias("url")))
-    both = parts[0].unionByName(parts[1])
+    """Every record delivered twice, counted by its cleaned URL."""
+    lines = landed_lines(spark, folder, damage=False)
+    checked = landed_articles(lines.unionByName(lines), AS_OF)
     url = F.when(F.col("reason").isNull(), F.col("url"))
-    return count_ingest(both.withColumn("url", url))
+    return count_ingest(checked.select("feed", "reason", url.alias("url")))
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
@@ -380,8 +456,8 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     once only.
     """
     landing = shared_folder(spark, "landing")
-    store = VectorStore(spark, shared_folder(spark, "store"))
-    lines = landed_lines(spark, folder)
+    store = VectorStore(spark, shared_folder(spark, "store"), dimensions=384)
+    lines = landed_lines(spark, folder, damage=False)
     for _ in range(2):
         out = lines.select("feed", "value").write.mode("append").partitionBy("feed")
         out.text(landing)
@@ -409,6 +485,7 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_published": parse_published,
     "chunk_recursive": chunk_recursive,
     "chunk_tokens": chunk_tokens,
+    "chunk_subwords": chunk_subwords,
     "embed_dense": embed_dense,
     "embed_sparse": embed_sparse,
     "dedup_first": dedup_first,
@@ -418,7 +495,11 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_hits": search_hits,
     "search_filtered": search_filtered,
     "search_articles": search_articles,
+    "search_many": search_many,
+    "search_stored": search_stored,
+    "search_stored_filtered": search_stored_filtered,
     "knn_lsh": knn_lsh,
+    "knn_lsh_recall": knn_lsh_recall,
     "ingest_counts": ingest_counts,
     "stream_ingest": stream_ingest,
 }

@@ -131,6 +131,9 @@ def _common(
         clean_url_or_na(image_url).alias("image_url"),
         clean_text_or_na(F.col("description")).alias("description"),
         clean_text_or_na(F.col("content")).alias("content"),
+        (F.col("language") if "language" in articles.columns else F.lit(None).cast("string")).alias(
+            "language"
+        ),
     )
     return stamped.withColumn("published_at", format_timestamp(F.col("published_ts")))
 

@@ -15,6 +15,8 @@ CORRUPT = "_corrupt_record"
 FEED_A = T.StructType(
     [T.StructField("source", T.StructType(_strings("id", "name")))]
     + _strings("author", "title", "description", "url", "urlToImage", "publishedAt", "content")
+    # Optional; says which language an article is in, for topic selection.
+    + _strings("language")
 )
 
 FEED_B = T.StructType(
@@ -23,13 +25,13 @@ FEED_B = T.StructType(
         "source_id", "source_url", "source_icon",
     )
     + [T.StructField("creator", T.ArrayType(T.StringType()))]
-    + _strings("image_url", "content")
+    + _strings("image_url", "content", "language")
 )
 
 COMMON = T.StructType(
     _strings("article_id", "title", "url", "published_at")
     + [T.StructField("published_ts", T.TimestampNTZType())]
-    + _strings("source_name", "image_url", "description", "content")
+    + _strings("source_name", "image_url", "description", "content", "language")
 )
 
 METADATA_FIELDS = ("title", "url", "published_at", "source_name", "image_url")

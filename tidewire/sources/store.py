@@ -1,19 +1,22 @@
 """The vector store: Parquet tables written one batch at a time.
 
-``points`` holds the chunks with vector and metadata, partitioned by batch.
-``keys`` holds one narrow row per stored article, partitioned by a hash of its
-URL and by batch. Asking which URLs are known opens only the directories the
-asked URLs fall into, and finding out which points have several versions never
-touches the vectors.
-
-Writing batch N replaces partition N in both tables, and lookups for batch N
-only see earlier batches. A batch that fails half way can therefore be run
-again, with the same result. One job writes at a time.
+``points`` holds the chunks with vector and metadata, partitioned by writer and
+batch. ``keys`` holds one narrow row per stored article, partitioned by a hash
+of its URL, writer and batch. Asking which URLs are known opens only the
+directories the asked URLs fall into, and finding out which articles have
+several versions never touches the vectors.
+
+A writer is one stream (its checkpoint) or one series of batch runs. Its batch
+N replaces only its own partition N in both tables, and lookups for it see all
+rows but those. So a batch that fails half way can be run again with the same
+result, and a new checkpoint, whose numbers begin at 0 again, overwrites
+nothing. One job writes at a time.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +30,15 @@ POINT_COLUMNS = ("doc_id", "chunk_id", "pos", "text", "embedding", "metadata")
 POINT_SCHEMA = (
     "doc_id string, chunk_id string, pos int, text string, embedding array<float>, "
     f"metadata struct<{', '.join(f'{name}: string' for name in METADATA_FIELDS)}>, "
-    "batch_id bigint"
+    "written_at timestamp, writer string, batch_id bigint"
 )
 # "repeated" marks an article with several points of one identity in its batch.
-KEY_SCHEMA = "doc_id string, url string, repeated boolean, url_bucket int, batch_id bigint"
-# Articles with several versions are broadcast up to this number of ids (some
-# 10 MB) and joined by shuffle beyond it.
-BROADCAST_IDS = 200_000
+KEY_SCHEMA = (
+    "doc_id string, url string, repeated boolean, written_at timestamp,"
+    " url_bucket int, writer string, batch_id bigint"
+)
+# The writer of batches that name none.
+MAIN = "main"
 
 # What identifies a point, and which of several points with one identity is current.
 IDENTITY = {"chunk": ["doc_id", "chunk_id"], "document": ["doc_id"]}
@@ -46,12 +51,15 @@ class VectorStore:
     ``granularity`` "chunk" keeps every chunk of an article, "document" one
     point per article, the last chunk winning. ``url_buckets`` is fixed for
     the life of a store; choose it so that one bucket's URLs stay a small file.
+    ``dimensions`` is the size of its vectors; without it that of the vectors
+    already stored. A vector of another size is refused on writing.
     """
 
     spark: SparkSession
     root: str
     granularity: str = "chunk"
     url_buckets: int = 16
+    dimensions: int | None = None
 
     def __post_init__(self):
         if self.granularity not in IDENTITY:
@@ -64,33 +72,41 @@ class VectorStore:
         return self._read("points", POINT_SCHEMA)
 
     def current(self) -> DataFrame:
-        """The current version of each point: latest batch, then last position.
+        """The current points: of each article those of its latest batch.
 
-        Ingest stores an article once, so as a rule no point has a second
-        version and this is a plain scan. Which articles are the exception is
-        read from the keys when this is called; only their points are shuffled.
+        An article stored again replaces all its older chunks. Of several
+        points with one identity in a batch the last position counts. Ingest
+        stores an article once, so as a rule nothing has a second version and
+        this is a plain scan. Which articles are the exception is read from the
+        keys when this is called; only their points are shuffled.
         """
         points, several = self.points(), self._several_versions()
-        found = several.limit(BROADCAST_IDS + 1).count()
-        if found == 0:
+        if several.isEmpty():
             return points
-        if found <= BROADCAST_IDS:
-            several = F.broadcast(several)
-        order = [F.col("batch_id").desc(), F.col("pos").desc(), F.col("chunk_id").asc()]
-        versions = points.join(several, "doc_id", "left_semi")
-        latest = top_n(versions, IDENTITY[self.granularity], order, 1, "_v").drop("_v")
-        return points.join(several, "doc_id", "left_anti").unionByName(latest)
+        batch = F.struct("written_at", "writer", "batch_id")
+        newest = several.withColumnRenamed("newest", "_newest")
+        latest = points.join(newest, "doc_id").where(batch == F.col("_newest")).drop("_newest")
+        order = [F.col("pos").desc(), F.col("chunk_id").asc()]
+        once = top_n(latest, IDENTITY[self.granularity], order, 1, "_v").drop("_v")
+        return points.join(several, "doc_id", "left_anti").unionByName(once)
 
     def _several_versions(self) -> DataFrame:
-        """Articles written more than once, or with a point repeated in a batch."""
+        """Articles written more than once, or with a point repeated in a batch; newest batch."""
         written = self.keys().groupBy("doc_id")
-        counted = written.agg(F.count(F.lit(1)).alias("n"), F.bool_or("repeated").alias("again"))
-        return counted.where((F.col("n") > 1) | F.col("again")).select("doc_id")
+        counted = written.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.bool_or("repeated").alias("again"),
+            F.max(F.struct("written_at", "writer", "batch_id")).alias("newest"),
+        )
+        return counted.where((F.col("n") > 1) | F.col("again")).select("doc_id", "newest")
 
-    def keys(self, before: int | None = None) -> DataFrame:
-        """URLs stored so far, or by batches earlier than ``before``."""
+    def keys(self, but: tuple[str, int] | None = None) -> DataFrame:
+        """URLs stored so far, without those of the writer and batch ``but``."""
         keys = self._read("keys", KEY_SCHEMA)
-        return keys if before is None else keys.where(F.col("batch_id") < before)
+        if but is None:
+            return keys
+        own = (F.col("writer") == but[0]) & (F.col("batch_id") == but[1])
+        return keys.where(~own)
 
     def _read(self, table: str, schema: str) -> DataFrame:
         try:
@@ -105,35 +121,66 @@ class VectorStore:
     def bucket(self, url: Column) -> Column:
         return F.pmod(F.xxhash64(url), F.lit(self.url_buckets)).cast("int")
 
-    def only_new(self, articles: DataFrame, batch_id: int, url: str = "url") -> DataFrame:
-        """Articles whose URL no earlier batch has stored."""
-        return only_new(articles, self._keys_for(articles, batch_id, url), url)
+    def only_new(
+        self, articles: DataFrame, batch_id: int, url: str = "url", writer: str = MAIN
+    ) -> DataFrame:
+        """Articles whose URL no other batch has stored."""
+        return only_new(articles, self._keys_for(articles, (writer, batch_id), url), url)
 
     def exists(self, articles: DataFrame, url: str = "url") -> DataFrame:
         """``articles`` with a flag ``stored``."""
         return exists_in(articles, self._keys_for(articles, None, url), url)
 
-    def _keys_for(self, articles: DataFrame, before: int | None, url: str) -> DataFrame:
+    def _keys_for(self, articles: DataFrame, but: tuple[str, int] | None, url: str) -> DataFrame:
         """Keys in the buckets ``articles`` falls into: at most ``url_buckets`` numbers."""
         asked = articles.select(self.bucket(F.col(url)).alias("b")).distinct().collect()
-        keys = self.keys(before).where(F.col("url_bucket").isin([row["b"] for row in asked]))
+        keys = self.keys(but).where(F.col("url_bucket").isin([row["b"] for row in asked]))
         return keys.select(F.col("url").alias(url))
 
     # --- writing
 
-    def write(self, points: DataFrame, batch_id: int) -> None:
+    def write(self, points: DataFrame, batch_id: int, writer: str = MAIN) -> None:
         """Upsert one batch of points (see ``POINT_COLUMNS``)."""
-        batch = F.lit(batch_id).cast("bigint").alias("batch_id")
-        self._overwrite(points.select(*POINT_COLUMNS, batch), "points", "batch_id")
-        # The keys are read back from what was just stored, without the vectors.
-        stored = self.points().where(F.col("batch_id") == batch_id)
+        now = datetime.now(UTC)
+        stamp = [
+            F.lit(now).alias("written_at"),
+            F.lit(writer).alias("writer"),
+            F.lit(batch_id).cast("bigint").alias("batch_id"),
+        ]
+        sized = self._of_size(points.select(*POINT_COLUMNS))
+        self._overwrite(sized.select("*", *stamp), "points", "writer", "batch_id")
+        # The keys are read back from the partition just stored, without the vectors.
+        stored = self._partition(writer, batch_id)
         kept = F.lit(1) if self.granularity == "document" else F.count_distinct("chunk_id")
         articles = stored.groupBy("doc_id", F.col("metadata.url").alias("url")).agg(
             (F.count(F.lit(1)) > kept).alias("repeated")
         )
-        keys = articles.withColumn("url_bucket", self.bucket(F.col("url")))
-        keys = keys.withColumn("batch_id", batch).hint("rebalance", "url_bucket")
-        self._overwrite(keys, "keys", "url_bucket", "batch_id")
+        keys = articles.select("*", stamp[0], self.bucket(F.col("url")).alias("url_bucket"), *stamp[1:])
+        self._overwrite(keys.hint("rebalance", "url_bucket"), "keys", "url_bucket", "writer", "batch_id")
+
+    def _partition(self, writer: str, batch_id: int) -> DataFrame:
+        """One batch as stored; only its own directory is listed."""
+        path = f"{self.root}/points/writer={writer}/batch_id={batch_id}"
+        try:
+            return self.spark.read.schema(POINT_SCHEMA).parquet(path)
+        except AnalysisException as error:  # a batch without points leaves no directory
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], POINT_SCHEMA)
+
+    def _of_size(self, points: DataFrame) -> DataFrame:
+        size = self.dimensions
+        if size is None:
+            sizes = self.points().where("embedding IS NOT NULL").select(F.size("embedding"))
+            found = sizes.first()
+            size = found[0] if found else None
+        if size is None:
+            return points
+        fits = F.col("embedding").isNull() | (F.size("embedding") == size)
+        fault = F.raise_error(
+            F.format_string(f"a vector of size %d in a store of size {size}", F.size("embedding"))
+        )
+        return points.withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(fault))
 
     def _overwrite(self, rows: DataFrame, table: str, *partitions: str) -> None:
         (
@@ -150,6 +197,8 @@ class VectorStore:
         and go on with the new store. ``batch_id`` must lie below the stream's
         next batch.
         """
-        fresh = VectorStore(self.spark, root, self.granularity, self.url_buckets)
+        fresh = VectorStore(
+            self.spark, root, self.granularity, self.url_buckets, self.dimensions
+        )
         fresh.write(self.current().hint("rebalance"), batch_id)
         return fresh

@@ -6,16 +6,17 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidewire.operators.chunk import MAX_CHARS, MAX_TOKENS, OVERLAP, chunk, refine
+from tidewire.operators.chunk import MAX_CHARS, MAX_TOKENS, OVERLAP, Tokens, chunk, refine
 from tidewire.operators.dedup import first_wins
 from tidewire.operators.embed import Predict, embed_dense
 from tidewire.sources.feeds import FEEDS, feed_rank, landed_articles, rejected, valid
-from tidewire.sources.store import VectorStore
+from tidewire.sources.store import MAIN, VectorStore
 
 # Fixed value: seconds between two looks at the landing folder.
 POLL_SECONDS = 5
@@ -44,6 +45,7 @@ class Ingest:
     (recency, topic, batch size) before anything is compared or embedded.
     The new articles of a batch are spread over ``embed_tasks`` tasks for
     chunking and the model: one per core if unset, as they come if 0.
+    ``tokens`` plugs the model's tokenizer into the chunk windows.
     """
 
     store: VectorStore
@@ -54,6 +56,7 @@ class Ingest:
     overlap: int = OVERLAP
     max_tokens: int = MAX_TOKENS
     embed_tasks: int | None = None
+    tokens: Tokens = Tokens()
 
     def points(self, articles: DataFrame) -> DataFrame:
         """Articles to embedded chunks."""
@@ -65,15 +68,18 @@ class Ingest:
             refined = refined.repartition(tasks)
         # Windows the store would overwrite anyway are not embedded.
         keep = "last" if self.store.granularity == "document" else "distinct"
-        chunks = chunk(refined, self.max_chars, self.overlap, self.max_tokens, keep)
+        chunks = chunk(refined, self.max_chars, self.overlap, self.max_tokens, keep, self.tokens)
         narrow = chunks.select("doc_id", "chunk_id", "pos", "text", "metadata")
         return embed_dense(narrow, model=self.model)
 
     def check(self, landed: DataFrame) -> DataFrame:
-        """Landed records (with arrival) as checked articles; works on a stream too."""
-        return landed_articles(landed, self.as_of, keep=FILE_ORDER)
+        """Landed records (with arrival) as checked articles; works on a stream too.
 
-    def store_batch(self, checked: DataFrame, batch_id: int) -> None:
+        ``content`` is stored nowhere, so it isn't cleaned either.
+        """
+        return landed_articles(landed, self.as_of, keep=FILE_ORDER).drop("content")
+
+    def store_batch(self, checked: DataFrame, batch_id: int, writer: str = MAIN) -> None:
         """Store what is new among ``checked`` as batch ``batch_id``; quarantine the rest.
 
         URLs are made unique and compared with the store before chunking, so
@@ -83,31 +89,46 @@ class Ingest:
         numbered = checked.withColumn("_line", F.monotonically_increasing_id()).persist()
         try:
             counts = Observation(f"batch {batch_id}")
-            self._quarantine(rejected(numbered.observe(counts, *_fetched())), batch_id)
-            log.info("batch %d: %s", batch_id, counts.get)
+            bad = rejected(numbered.observe(counts, *_fetched()))
+            self._quarantine(bad, batch_id, writer)
             articles = valid(numbered)
             if self.select is not None:
                 articles = self.select(articles)
             order = [feed_rank(F.col("feed")), *[F.col(name) for name in (*FILE_ORDER, "_line")]]
-            unique = first_wins(articles, "url", order)
-            self.store.write(self.points(self.store.only_new(unique, batch_id)), batch_id)
+            unique = Observation(f"unique {batch_id}")
+            once = first_wins(articles, "url", order).observe(unique, F.count("*").alias("unique"))
+            fresh = Observation(f"new {batch_id}")
+            new = self.store.only_new(once, batch_id, writer=writer)
+            new = new.observe(fresh, F.count("*").alias("new"))
+            self.store.write(self.points(new), batch_id, writer)
+            found = counts.get | unique.get | fresh.get
+            found["skipped"] = found["unique"] - found["new"]
+            self.counted(writer, batch_id, found)
         finally:
             numbered.unpersist()
 
-    def run(self, landed: DataFrame, batch_id: int) -> None:
+    def counted(self, writer: str, batch_id: int, found: dict[str, int]) -> None:
+        """What a batch held: fetched and rejected per feed; unique, new and skipped URLs.
+
+        Logged here; override it to send the counts elsewhere.
+        """
+        log.info("%s batch %d: %s", writer, batch_id, found)
+
+    def run(self, landed: DataFrame, batch_id: int, writer: str = MAIN) -> None:
         """Ingest a table of landed records as one batch.
 
         A large backlog is better streamed with ``max_files``, which takes it
         in batches that can each be repeated.
         """
-        self.store_batch(self.check(landed), batch_id)
+        self.store_batch(self.check(landed), batch_id, writer)
 
-    def _quarantine(self, bad: DataFrame, batch_id: int) -> None:
+    def _quarantine(self, bad: DataFrame, batch_id: int, writer: str) -> None:
         (
-            bad.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            bad.withColumn("writer", F.lit(writer))
+            .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
+            .partitionBy("writer", "batch_id")
             .parquet(f"{self.store.root}/quarantine")
         )
 
@@ -146,9 +167,19 @@ def ingest_stream(
     """A writer ready to ``start()``; it resumes from ``checkpoint``.
 
     Records are parsed and mapped in the streaming plan, where each feed's
-    branch reads only the files of its own folder.
+    branch reads only the files of its own folder. Batches are stored under the
+    id that the checkpoint holds: another checkpoint is another writer.
     """
-    writer = job.check(landed).writeStream.foreachBatch(job.store_batch)
+    spark = landed.sparkSession
+
+    @cache
+    def query_id() -> str:
+        return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+    def store(checked: DataFrame, batch_id: int) -> None:
+        job.store_batch(checked, batch_id, query_id())
+
+    writer = job.check(landed).writeStream.foreachBatch(store)
     writer = writer.option("checkpointLocation", checkpoint)
     if until_caught_up:
         return writer.trigger(availableNow=True)
