@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Inputs from this size on are left as they are split.
+SMALL_BYTES = 1 << 30
+
+
 def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """Use every core for the per-row work that follows.
 
     A small input, such as one file with one row group, is read by a single
-    task and would be cleaned and embedded by that task alone. An input with
-    at least as many partitions as the cluster has cores is left as it is, so
-    no large table is shuffled for this. Select the needed columns first.
+    task and would be cleaned and embedded by that task alone. What is small
+    is told by the bytes the plan reads, not by the cluster's size, so no
+    large table is ever shuffled for this. Select the needed columns first.
     """
     wanted = tasks or rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= wanted:
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+    if int(size) >= SMALL_BYTES or rows.rdd.getNumPartitions() >= wanted:
         return rows
     return rows.repartition(wanted)
 

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Up to this n the optimizer limits every group inside each map task, before
-# the shuffle, so a hot group arrives as n rows per task. It is the default of
-# spark.sql.optimizer.windowGroupLimitThreshold.
-MAP_SIDE_LIMIT = 1000
+# Up to this setting's n the optimizer limits every group inside each map task,
+# before the shuffle, so a hot group arrives as n rows per task.
+MAP_SIDE_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_n(
@@ -21,7 +20,7 @@ def top_n(
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    if n > MAP_SIDE_LIMIT:
+    if n > int(rows.sparkSession.conf.get(MAP_SIDE_LIMIT, "1000")):
         # Cut each group in as many splits as a shuffle has partitions first;
         # the top n are among the splits' top n.
         splits = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
