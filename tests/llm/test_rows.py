@@ -42,6 +42,7 @@ SECRETS = [
     (6, None),
     (7, ""),
     (8, 'é日 password = "hunter22x" and TOKEN:abc then api-key=zz, apikey=0123456'),
+    (1, 'é日 password = "hunter22x" and TOKEN:abc then api-key=zz, apikey=0123456'),
     (None, "token = deadbeefdeadbeefdeadbeefdeadbeef"),
     (9, "-----BEGIN RSA PRIVATE KEY-----\nxyz ſecret=abcdefgh toKen=abcdefgh"),
 ]
@@ -353,7 +354,8 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("spread", [0.02, 0.3, 2.0])
-def test_tree_skips_distances(spread):
+def test_tree_skips_distances(spread, monkeypatch):
+    monkeypatch.setattr(metric_tree, "PAGE", 128)
     draw = np.random.default_rng(4)
     centers = draw.normal(0, 1, (20, 16))
     vectors = centers[draw.integers(0, 20, 5000)] + draw.normal(0, spread, (5000, 16))

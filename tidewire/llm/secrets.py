@@ -86,6 +86,7 @@ def _matches(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             )
         ).alias("found"),
     ).select("blob", "found.rule", F.posexplode("found.pieces").alias("at", "piece"))
+    found = found.distinct()  # rows repeated with their id
     upto = F.expr("sum(piece.gap + piece.size) OVER (PARTITION BY blob, rule ORDER BY at)")
     placed = found.select("blob", "rule", "piece", upto.cast("int").alias("end")).where(
         "piece.counts"
@@ -143,7 +144,7 @@ def scan(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFra
         )
         .select("blob", "text", "due")
     )
-    spans = _matches(texts, rules).withColumn("spans", F.array_distinct("spans"))
+    spans = _matches(texts, rules)
     rows = due.join(spans, ["blob", "rule"], "left").select(
         "blob",
         "rule",
@@ -161,7 +162,9 @@ def scan(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFra
             F.col("rule").alias("kind"),
         ),
     )
-    current = F.struct("rule", "version").isin(*(F.struct(F.lit(r.name), F.lit(r.version)) for r in rules))
+    current = F.struct("rule", "version").isin(
+        *(F.struct(F.lit(r.name), F.lit(r.version)) for r in rules)
+    )
     by_blob = stored(
         ledger(spark, path)
         .where(current & (F.size("spans") > 0))
