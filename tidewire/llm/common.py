@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+import inspect
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,10 +14,6 @@ from pyspark.sql import functions as F
 
 from tidewire.plans.session import shared_folder
 
-#: ASCII white space, the separators of words in every operator here.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
 def texts(docs: DataFrame, *more: Column | str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty), and nothing else unless asked for."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
@@ -31,11 +31,44 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def row_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[dict]]:
-    """The rows of Arrow batches as dicts, ``size`` at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            yield batch.slice(start, size).to_pylist()
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(work: Callable) -> Callable:
+    """A batch function, or one of a group, that gives its memory back at its end."""
+    if inspect.isgeneratorfunction(work):
+
+        @functools.wraps(work)
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from work(batches)
+            finally:
+                give_back()
+
+        return stream
+
+    # Spark counts the arguments of a group's function, so each number has its own.
+    if len(inspect.signature(work).parameters) == 2:
+
+        def pair(left, right):
+            try:
+                return work(left, right)
+            finally:
+                give_back()
+
+        return pair
+
+    def single(table):
+        try:
+            return work(table)
+        finally:
+            give_back()
+
+    return single
 
 
 def parts(rows: DataFrame) -> int:

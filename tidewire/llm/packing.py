@@ -12,7 +12,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidewire.llm.common import stored, texts
+from tidewire.llm.common import lean, stored, texts
 from tidewire.llm.vocab import encoder, with_special
 
 #: The hashed document vector: token counts in so many buckets.
@@ -109,7 +109,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
                     names=["doc_id", "curve", "ids"],
                 )
 
-    return texts(docs).mapInArrow(encode, "doc_id long, curve long, ids binary")
+    return texts(docs).mapInArrow(lean(encode), "doc_id long, curve long, ids binary")
 
 
 def _cuts(total: int) -> list[int]:
@@ -197,4 +197,4 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end: int = 1) ->
         if held:
             yield table(held)
 
-    return along.select("doc_id", "ids").mapInArrow(lay, PIECES)
+    return along.select("doc_id", "ids").mapInArrow(lean(lay), PIECES)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import stored
+from tidewire.llm.common import lean, stored
 
 BLANKS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 UPPER, LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(65, 91)) + bytes(range(97, 123))
@@ -107,7 +107,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.xxhash64(text).alias("text_hash"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
-    ).mapInArrow(measure, schema)
+    ).mapInArrow(lean(measure), schema)
     return rows.withColumn(
         "base_failed",
         F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"),

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import parts, stored, texts
+from tidewire.llm.common import lean, parts, stored, texts
 
 BITS = 64
 #: Nodes of one BK-tree at most, and queries that go down a tree together.
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             )
 
     text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
-    return texts(docs, text_hash).mapInArrow(compute, "doc_id long, text_hash long, bits long")
+    return texts(docs, text_hash).mapInArrow(lean(compute), "doc_id long, text_hash long, bits long")
 
 
 class BKTree:
@@ -182,7 +182,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         .select("bits", "shard.*")
         .withColumn("task", F.pmod(F.xxhash64("band", "kept"), F.lit(tasks)))
         .groupBy("task")
-        .applyInPandas(join_shards, "a long, b long")
+        .applyInPandas(lean(join_shards), "a long, b long")
         .distinct()
     )
 

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidewire.llm.common import texts
+from tidewire.llm.common import lean, texts
 
 #: Characters of a chunk of a huge document, and of the first overlap tried.
 CHUNK, OVERLAP = 32_768, 512
 #: Words one Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Separators that end a pre-token in any context (fixed values).
 BLANKS = " \t\n\v\f\r"
 
@@ -180,4 +180,4 @@ def token_counts(
                 )
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    return texts(docs).mapInArrow(count, schema)
+    return texts(docs).mapInArrow(lean(count), schema)

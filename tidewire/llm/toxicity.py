@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import texts
+from tidewire.llm.common import lean, texts
 
 #: Bound of the training sample: rows of each class, bytes of each row.
 TRAIN_ROWS, TRAIN_BYTES = 4000, 8192
@@ -237,4 +237,4 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 names=["doc_id", "score", "predicted"],
             )
 
-    return texts(docs).mapInArrow(score, "doc_id long, score double, predicted int")
+    return texts(docs).mapInArrow(lean(score), "doc_id long, score double, predicted int")

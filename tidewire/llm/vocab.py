@@ -18,7 +18,7 @@ PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Where cutting a text at single blanks would not give the pieces above.
 IRREGULAR = re.compile(f" [{SPACE}]|[{SPACE[7:]}]| $")
 #: Words that one Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def pieces(text: str) -> list[str]:
