@@ -30,10 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import stored, texts
+from tidewire.llm.common import lean, stored, texts
 
 #: Text bytes of a block, and groups of anchors. Raise GROUPS with the table.
-BLOCK, GROUPS = 12 << 20, 512
+BLOCK, GROUPS = 8 << 20, 512
 #: Stands for a null doc_id: before all others.
 NO_ID = -(1 << 63)
 
@@ -56,6 +56,18 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return found
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Ascending numbers as runs of consecutive ones."""
+    new = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+    sizes = np.diff(np.append(new, len(places)))
+    return packed(np.diff(places[new], prepend=0).astype("<u4"), sizes.astype("<u4"), level=3)
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    gaps, sizes = unpacked(data, "<u4", "<u4")
+    return stretches(np.cumsum(gaps, dtype=np.int64), sizes.astype(np.int64))
+
+
 @dataclass
 class Block:
     """Documents end to end: ``bounds[k]`` to ``bounds[k + 1]`` is the text of ``ids[k]``."""
@@ -95,6 +107,28 @@ class Block:
         return pa.array(hashes.view(np.int64), pa.int64())
 
 
+    def order_of(self, documents: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For each item its place in a short list of documents, and that list: ids, hashes.
+
+        The list goes with an offer, so that other blocks' items can be put in order.
+        """
+        used, place = np.unique(documents, return_inverse=True)
+        ids, hashes = self.ids[used].astype("<i8"), self.digests[used, 0].astype("<u8")
+        return place.astype("<u2" if len(used) < 1 << 16 else "<u4"), [ids, hashes]
+
+
+def ranked(lists: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The rank of every (id, hash) of several lists in their common order."""
+    ids, hashes = (np.concatenate(column) for column in zip(*lists))
+    order = np.lexsort((hashes, ids))
+    new = np.concatenate(
+        [[False], (np.diff(ids[order]) != 0) | (hashes[order][1:] != hashes[order][:-1])]
+    )[: len(order)]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return np.split(rank, np.cumsum([len(i) for i, _ in lists])[:-1])
+
+
 def open_block(data: bytes) -> Block:
     ids, bounds, text = unpacked(data, "<i8", "<i8", "u1")
     return Block(ids, bounds, text.tobytes())
@@ -147,6 +181,13 @@ class Method(Protocol):
         """The result rows of a block, given the starts of its repeated windows."""
 
 
+def stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each of several stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(begins - (ends - sizes), sizes)
+
+
 def deal(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(group, indexes of its members) for every group that has any."""
     order = np.argsort(groups, kind="stable")
@@ -161,7 +202,7 @@ def _home(block: str) -> int:
 
 def repeats(docs: DataFrame, method: Method) -> DataFrame:
     """Run the rounds over all documents; the rows are those of ``method.finish``."""
-    blocks = stored(texts(docs).mapInArrow(_blocks, "block string, body binary"), "blocks")
+    blocks = stored(texts(docs).mapInArrow(lean(_blocks), "block string, body binary"), "blocks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,14 +261,14 @@ def repeats(docs: DataFrame, method: Method) -> DataFrame:
             for group, at in deal((block.digests[:, 1] % np.uint64(GROUPS)).astype(np.int64)):
                 copy[at] |= np.unpackbits(np.frombuffer(bits[group][1], "u1"), count=len(at)) > 0
             known = method.settled(block, survey, copy)
-            out.append((_home(name), name, True, packed(known.astype("<u4"))))
+            out.append((_home(name), name, True, pack_places(known)))
             out.extend((g, name, False, data) for g, data in method.offer(block, survey, shared, copy))
         return pd.DataFrame(out, columns=["group", "block", "known", "data"])
 
     def compare(table: pd.DataFrame) -> pd.DataFrame:
         known = table[table["known"]]
         asked = table[~table["known"]]
-        answers = [packed(a.astype("<u4")) for a in method.earlier(list(asked["data"]))]
+        answers = [pack_places(np.sort(a)) for a in method.earlier(list(asked["data"]))]
         return pd.DataFrame(
             {
                 "block": pd.concat([known["block"], asked["block"]]),
@@ -236,27 +277,27 @@ def repeats(docs: DataFrame, method: Method) -> DataFrame:
         )
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [unpacked(s, "<u4")[0] for s in right["starts"].to_pylist()]
-        starts = np.unique(np.concatenate([np.zeros(0, "<u4"), *found])).astype(np.int64)
+        found = [unpack_places(s) for s in right["starts"].to_pylist()]
+        starts = np.concatenate([np.zeros(0, np.int64), *found])
         return pa.concat_tables(
             method.finish(open_block(body), starts) for body in left["body"].to_pylist()
         )
 
     told = (
-        blocks.mapInArrow(ask, "group int, block string, keys binary, texts binary")
+        blocks.mapInArrow(lean(ask), "group int, block string, keys binary, texts binary")
         .groupBy("group")
-        .applyInPandas(tell, "group int, block string, shared binary, copies binary")
+        .applyInPandas(lean(tell), "group int, block string, shared binary, copies binary")
     )
     offers = (
         blocks.groupBy("block")
         .cogroup(told.groupBy("block"))
-        .applyInPandas(offer, "group int, block string, known boolean, data binary")
+        .applyInPandas(lean(offer), "group int, block string, known boolean, data binary")
     )
-    answers = offers.groupBy("group").applyInPandas(compare, "block string, starts binary")
+    answers = offers.groupBy("group").applyInPandas(lean(compare), "block string, starts binary")
     return (
         blocks.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(finish, method.schema)
+        .applyInArrow(lean(finish), method.schema)
     )
 
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tidewire.llm.repeats import GROUPS, Block, cover, deal, packed, repeats, unpacked
-from tidewire.llm.suffix_dedup import ODD, spans
+from tidewire.llm.repeats import GROUPS, Block, cover, deal, packed, ranked, repeats, unpacked
+from tidewire.llm.suffix_dedup import ODD
 
 #: Every difference modulo 13 is one of two of these places (fixed values, a perfect difference set).
 PERIOD, PLACES = 13, (0, 1, 3, 9)
@@ -32,30 +32,30 @@ def window_hashes(words: np.ndarray, at: np.ndarray, size: int, odd: np.uint64)
         return _mixed(found)
 
 
+class WordHashes(dict):
+    """word -> 64-bit hash, computed when first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 @dataclass
 class Words:
-    """A block's words: hashes, the document of each, and each document's first word."""
+    """A block's words: their hashes, and each document's first word."""
 
     hashes: np.ndarray
     firsts: np.ndarray
-    cached: dict
 
     @staticmethod
     def of(block: Block) -> Words:
-        each = [text.split() for text in block.texts]
+        known = WordHashes()
+        each = []
+        for text in block.texts:
+            words = text.split()
+            each.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         firsts = np.cumsum([0, *map(len, each)])
-        known: dict[bytes, int] = {}
-        of = xxhash.xxh3_64_intdigest
-        flat = np.empty(int(firsts[-1]), np.uint64)
-        for at, words in zip(firsts.tolist(), each):
-            values = []
-            for word in words:
-                value = known.get(word)
-                if value is None:
-                    value = known[word] = of(word)
-                values.append(value)
-            flat[at : at + len(words)] = values
-        return Words(flat, firsts, {})
+        return Words(np.concatenate(each), firsts)
 
     def documents(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.firsts, at, "right") - 1
@@ -170,31 +170,32 @@ class DifferenceCover:
         high, low = self._two(words, starts)
         document = words.documents(starts)
         for group, chosen in deal((high % np.uint64(GROUPS)).astype(np.int64)):
-            where = document[chosen]
+            place, documents = block.order_of(document[chosen])
             yield (
                 group,
                 packed(
+                    *documents,
+                    words.firsts[np.unique(document[chosen])].astype("<i8"),
+                    place.astype("<u4"),
+                    np.diff(starts[chosen], prepend=0).astype("<u4"),
                     high[chosen].astype("<u8"),
-                    low[chosen].astype("<u8"),
-                    starts[chosen].astype("<u4"),
-                    block.ids[where].astype("<i8"),
-                    block.digests[where, 0].astype("<u8"),
-                    (starts[chosen] - words.firsts[where]).astype("<u4"),
+                    (low[chosen] >> np.uint64(32)).astype("<u4"),
                 ),
             )
 
     def earlier(self, offers: list[bytes]) -> list[np.ndarray]:
         if not offers:
             return []
-        each = [unpacked(o, "<u8", "<u8", "<u4", "<i8", "<u8", "<u4") for o in offers]
-        high, low, starts, ids, digests, within = (np.concatenate(c) for c in zip(*each))
-        order = np.lexsort((digests, ids))
-        new = (np.diff(ids[order], prepend=0) != 0) | (np.diff(digests[order], prepend=0) != 0)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new)
-        found = _not_first(high, low, (rank << 32) + within)
-        cuts = np.cumsum([len(e[0]) for e in each])[:-1]
-        return [s[f] for s, f in zip(np.split(starts, cuts), np.split(found, cuts))]
+        each = [unpacked(o, "<i8", "<u8", "<i8", "<u4", "<u4", "<u8", "<u4") for o in offers]
+        starts = [np.cumsum(e[4], dtype=np.int64) for e in each]
+        ranks = ranked([(e[0], e[1]) for e in each])
+        order = [
+            (rank[e[3]] << 32) + start - e[2][e[3]] for rank, start, e in zip(ranks, starts, each)
+        ]
+        high, low = (np.concatenate([e[k] for e in each]) for k in (5, 6))
+        found = _not_first(high, low, np.concatenate(order))
+        cuts = np.cumsum([len(s) for s in starts])[:-1]
+        return [s[f] for s, f in zip(starts, np.split(found, cuts))]
 
     def finish(self, block: Block, starts: np.ndarray) -> pa.Table:
         each = [text.split() for text in block.texts]
@@ -225,8 +226,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     A word goes if some window of ``window`` words over it also starts earlier:
     in a document with a smaller doc_id, or further ahead in its own. All is
     judged on the input. Anchors are hashed at difference-cover positions only,
-    4 of 13; windows around anchors that occur twice are compared by 128 bits
-    of hash over the whole window, and the earliest of equal ones stays.
+    4 of 13; windows around anchors that occur twice are compared by 96 bits
+    of hash over the whole window (128 within a block), and the earliest of equal ones stays.
 
     Null or empty text: no words. A text of fewer words than a window stays.
     Null doc_id: before all others. Repeated rows (id and text) count as one

@@ -7,16 +7,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import with_text
-from tidewire.llm.repeats import GROUPS, Block, cover, deal, packed, repeats, runs, unpacked
+from tidewire.llm.common import lean, with_text
+from tidewire.llm.repeats import (
+    GROUPS,
+    Block,
+    cover,
+    deal,
+    packed,
+    ranked,
+    repeats,
+    runs,
+    stretches,
+    unpacked,
+)
 
 #: Bytes hashed for an anchor. Each window of ``length`` bytes holds length - ANCHOR + 1 of them.
 ANCHOR = 50
 #: Bytes of text hashed at once, and positions of one suffix array.
-PART, SUFFIXES = 1 << 19, 1 << 20
+PART, SUFFIXES = 1 << 19, 2_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,16 +122,22 @@ def anchors(block: Block, length: int) -> Anchors:
     return Anchors(*(np.concatenate([getattr(f, k) for f in found]) for k in ("keys", "lows", "counts")))
 
 
-def spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... for each of several stretches, one after the other."""
+def merged(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and sizes of the union of stretches given by ascending begins."""
     if not len(begins):
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1])) + np.repeat(begins - (ends - sizes), sizes)
+        return begins, sizes
+    reach = np.maximum.accumulate(begins + sizes)
+    new = np.flatnonzero(np.concatenate([[True], begins[1:] > reach[:-1]]))
+    return begins[new], reach[np.append(new[1:], len(begins)) - 1] - begins[new]
 
 
 def _rank(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
+    order = np.argsort(values)
+    ordered = values[order]
+    rank = np.empty(len(values), np.uint64)
+    rank[order[:1]] = 0
+    rank[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
+    return rank
 
 
 def prefix_ranks(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -170,10 +188,25 @@ def has_earlier(text: np.ndarray, at: np.ndarray, order: np.ndarray, length: int
     return found
 
 
-def _in_turns(sizes: np.ndarray, keys: np.ndarray) -> Iterator[np.ndarray]:
-    """Split contexts into sets of about SUFFIXES bytes; equal keys stay together."""
-    turns = 1 + int(sizes.sum()) // SUFFIXES
-    for _, chosen in deal(((keys >> np.uint64(40)) % np.uint64(turns)).astype(np.int64)):
+def first_of_equal(
+    text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, order: np.ndarray
+) -> np.ndarray:
+    """For each stretch of ``text`` the one equal to it that comes first in ``order``."""
+    raw = text.tobytes()
+    edges = zip(begins.tolist(), (begins + sizes).tolist())
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in edges), "<u8")
+    high, low = digests[::2], digests[1::2]
+    by = np.lexsort((order, low, high))
+    new = np.concatenate([[True], (np.diff(high[by]) != 0) | (np.diff(low[by]) != 0)])[: len(by)]
+    first = np.empty(len(by), np.int64)
+    first[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return first
+
+
+def _in_turns(size: int, keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Split contexts of ``size`` bytes into sets of about SUFFIXES; equal keys stay together."""
+    turns = 1 + size // SUFFIXES
+    for _, chosen in deal((keys % np.uint64(turns)).astype(np.int64)):
         yield chosen
 
 
@@ -201,25 +234,31 @@ class LongestPreviousFactor:
         document = np.searchsorted(block.bounds, starts, "right") - 1
         return (block.rank[document] << 32) + starts - block.bounds[document]
 
+    def _windows(self, block: Block, chosen: np.ndarray) -> np.ndarray:
+        """The starts of all windows of the chosen documents."""
+        sizes = np.maximum(np.diff(block.bounds) - self.length + 1, 0)
+        return stretches(block.bounds[:-1][chosen], sizes[chosen])
+
     def survey(self, block: Block) -> Survey:
         """Anchors with windows that nothing earlier in the block repeats."""
         all_anchors = anchors(block, self.length)
         document = np.searchsorted(block.bounds, all_anchors.lows, "right") - 1
         own = all_anchors.some(~block.copy[document])
         repeated = np.zeros(len(block.data) + 1, bool)
-        for place in np.flatnonzero(block.copy).tolist():
-            repeated[block.bounds[place] : block.bounds[place + 1] - self.length + 1] = True
+        repeated[self._windows(block, block.copy)] = True
         order = np.argsort(own.keys, kind="stable")
         same = own.keys[order][1:] == own.keys[order][:-1]
         several = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order
         suspects = own.some(np.sort(several))
         data = np.frombuffer(block.data, np.uint8)
         sizes = suspects.counts + self.length - 1
-        for chosen in _in_turns(sizes, suspects.keys):
-            lows, counts = suspects.lows[chosen], suspects.counts[chosen]
-            text = data[spans(lows, sizes[chosen])]
-            at = spans(np.cumsum(sizes[chosen]) - sizes[chosen], counts)
-            starts = spans(lows, counts)
+        whole = int(merged(suspects.lows, sizes)[1].sum())
+        for chosen in _in_turns(whole, suspects.keys >> np.uint64(48)):
+            begins, lengths = merged(suspects.lows[chosen], sizes[chosen])
+            starts = stretches(suspects.lows[chosen], suspects.counts[chosen])
+            own_part = np.searchsorted(begins, starts, "right") - 1
+            at = starts - begins[own_part] + (np.cumsum(lengths) - lengths)[own_part]
+            text = data[stretches(begins, lengths)]
             found = has_earlier(text, at, self._order(block, starts), self.length)
             repeated[starts[found]] = True
         fresh = np.concatenate([[0], np.cumsum(~repeated)])
@@ -227,8 +266,7 @@ class LongestPreviousFactor:
         return Survey(own.some(left), repeated)
 
     def settled(self, block: Block, survey: Survey, copy: np.ndarray) -> np.ndarray:
-        for place in np.flatnonzero(copy).tolist():
-            survey.repeated[block.bounds[place] : block.bounds[place + 1] - self.length + 1] = True
+        survey.repeated[self._windows(block, copy)] = True
         return np.flatnonzero(survey.repeated)
 
     def offer(
@@ -239,46 +277,61 @@ class LongestPreviousFactor:
         document = document[shared & ~copy[document]]
         data = np.frombuffer(block.data, np.uint8)
         for group, chosen in deal((asked.keys % np.uint64(GROUPS)).astype(np.int64)):
-            some, where = asked.some(chosen), document[chosen]
+            some = asked.some(chosen)
+            place, documents = block.order_of(document[chosen])
             yield (
                 group,
                 packed(
-                    some.keys.astype("<u8"),
-                    some.lows.astype("<i8"),
-                    some.counts.astype("<i8"),
-                    block.ids[where].astype("<i8"),
-                    block.digests[where, 0].astype("<u8"),
-                    (some.lows - block.bounds[where]).astype("<i8"),
-                    data[spans(some.lows, some.counts + self.length - 1)],
+                    *documents,
+                    block.bounds[np.unique(document[chosen])].astype("<i8"),
+                    place.astype("<u4"),
+                    (some.keys >> np.uint64(48)).astype("<u2"),
+                    some.lows.astype("<u4"),
+                    some.counts.astype("<u2"),
+                    data[stretches(some.lows, some.counts + self.length - 1)],
+                    level=3,
                 ),
             )
 
     def earlier(self, offers: list[bytes]) -> list[np.ndarray]:
         if not offers:
             return []
-        each = [unpacked(o, "<u8", "<i8", "<i8", "<i8", "<u8", "<i8", "u1") for o in offers]
-        keys, lows, counts, ids, digests, within, text = (
-            np.concatenate(column) for column in zip(*each)
+        kinds = ("<i8", "<u8", "<i8", "<u4", "<u2", "<u4", "<u2", "u1")
+        each = [unpacked(o, *kinds) for o in offers]
+        ranks = ranked([(e[0], e[1]) for e in each])
+        order = np.concatenate(
+            [
+                (rank[place] << 32) + low.astype(np.int64) - first[place]
+                for rank, (_, _, first, place, _, low, _, _) in zip(ranks, each)
+            ]
         )
-        offered = np.repeat(np.arange(len(each)), [len(e[0]) for e in each])
-        order = np.lexsort((digests, ids))
-        new = (np.diff(ids[order], prepend=0) != 0) | (np.diff(digests[order], prepend=0) != 0)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new)
+        keys, lows, counts, text = (np.concatenate([e[k] for e in each]) for k in (4, 5, 6, 7))
+        offered = np.repeat(np.arange(len(each)), [len(e[4]) for e in each])
+        lows, counts = lows.astype(np.int64), counts.astype(np.int64)
         sizes = counts + self.length - 1
         begins = np.cumsum(sizes) - sizes
-        answers: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in each]
-        for chosen in _in_turns(sizes, keys):
+        first = first_of_equal(text, begins, sizes, order)
+        repeated = order > order[first]
+        # Windows of stretches that are equal as a whole are compared once, at the earliest.
+        offsets = np.cumsum(counts) - counts
+        found = np.zeros(int(counts.sum()), bool)
+        alone = np.flatnonzero(first == np.arange(len(first)))
+        for some in _in_turns(int(sizes[alone].sum()), keys[alone].astype(np.uint64)):
+            chosen = alone[some]
             own_sizes, own_counts = sizes[chosen], counts[chosen]
-            part = text[spans(begins[chosen], own_sizes)]
-            at = spans(np.cumsum(own_sizes) - own_sizes, own_counts)
-            places = spans((rank[chosen] << 32) + within[chosen], own_counts)
-            found = has_earlier(part, at, places, self.length)
-            starts = spans(lows[chosen], own_counts)[found]
-            source = np.repeat(offered[chosen], own_counts)[found]
-            for k, members in deal(source):
-                answers[k].append(starts[members])
-        return [np.concatenate(a) for a in answers]
+            part = text[stretches(begins[chosen], own_sizes)]
+            at = stretches(np.cumsum(own_sizes) - own_sizes, own_counts)
+            places = stretches(order[chosen], own_counts)
+            found[stretches(offsets[chosen], own_counts)] = has_earlier(
+                part, at, places, self.length
+            )
+        found = found[stretches(offsets[first], counts)] | np.repeat(repeated, counts)
+        starts = stretches(lows, counts)[found]
+        source = np.repeat(offered, counts)[found]
+        answers = [np.zeros(0, np.int64) for _ in each]
+        for k, members in deal(source):
+            answers[k] = starts[members]
+        return answers
 
     def finish(self, block: Block, starts: np.ndarray) -> pa.Table:
         covered = cover(starts, self.length, len(block.data))
@@ -335,7 +388,7 @@ def without_later_copies(docs: DataFrame, length: int = 100) -> DataFrame:
         remove_later_copies(docs, length)
         .where("size(spans) > 0")
         .select("doc_id", "text_hash", "kept")
-        .mapInArrow(decode, "cut_id long, cut_hash long, cut string")
+        .mapInArrow(lean(decode), "cut_id long, cut_hash long, cut string")
         .dropDuplicates(["cut_id", "cut_hash"])
     )
     same = docs["doc_id"].eqNullSafe(changed["cut_id"]) & (
