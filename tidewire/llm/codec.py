@@ -12,13 +12,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from tidewire.llm.common import texts
+from tidewire.llm.common import lean, texts
 from tidewire.llm.vocab import Encoder, pieces, ranks_of
 
 #: Text bytes of a block, the unit whose word positions travel as one row.
 BLOCK = 16 << 20
 #: Word groups encoded apart. A group is one task's: raise it with the number of distinct words.
 BUCKETS = 512
+#: Words put together at once.
+SLICE = 500_000
 WORDS = "bucket int, block string, places binary, words binary"
 DICTIONARY = "block string, places binary, ids binary"
 POSITIONS = "block string, doc_ids array<long>, lengths array<int>, positions binary"
@@ -86,6 +88,21 @@ def _spread(data: bytes) -> np.ndarray:
     return numbers
 
 
+def stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each of several stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(begins - (ends - sizes), sizes)
+
+
+class _Places(dict):
+    """word -> its place in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block's distinct words by bucket, with their places in order of appearance."""
     for block, _, held in blocks(batches, BLOCK):
@@ -112,12 +129,11 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block's texts as places in its list of distinct words."""
     for block, ids, held in blocks(batches, BLOCK):
-        known: dict[str, int] = {}
-        place, flat, lengths = known.setdefault, [], []
+        place, flat, lengths = _Places().__getitem__, [], []
         for text in held:
             words = pieces(text)
             lengths.append(len(words))
-            flat.append(np.fromiter([place(w, len(known)) for w in words], np.uint32, len(words)))
+            flat.append(np.fromiter(map(place, words), np.uint32, len(words)))
         yield pa.RecordBatch.from_pydict(
             {
                 "block": pa.array([block], pa.string()),
@@ -163,25 +179,25 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
         entries: dict[int, bytes] = {}
         for places, ids in zip(right["places"].to_pylist(), right["ids"].to_pylist()):
             entries.update(zip(np.cumsum(_spread(places)).tolist(), unpacked(ids)))
-        words = [np.frombuffer(entries[place], "<u4") for place in range(len(entries))]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.concatenate(words) if words else np.zeros(0, np.uint32)
+        words = [entries[place] for place in range(len(entries))]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        flat = np.frombuffer(b"".join(words), "<u4").astype(np.int32)
         begins = np.cumsum(sizes) - sizes
-        doc_ids, ends, values = [], [np.zeros(1, np.int64)], []
+        doc_ids, counts, values = [], [np.zeros(1, np.int64)], []
         for row in left.to_pylist():
             positions = _spread(row["positions"])
             if len(positions) and int(positions.max()) >= len(words):
                 raise ValueError("the two reads of the table were cut into different blocks")
-            counts = sizes[positions]
-            upto = np.cumsum(counts)
-            total = int(upto[-1]) if len(upto) else 0
-            index = np.arange(total) + np.repeat(begins[positions] - (upto - counts), counts)
-            doc_ends = np.concatenate([[0], upto])[np.cumsum(row["lengths"])]
-            ends.append(doc_ends + ends[-1][-1])
-            values.append(flat[index])
+            edges = np.concatenate([[0], np.cumsum(row["lengths"], dtype=np.int64)])
+            counts.append(np.concatenate([[0], np.cumsum(sizes[positions])])[edges])
+            counts[-1] = np.diff(counts[-1])
+            for begin in range(0, len(positions), SLICE):
+                some = positions[begin : begin + SLICE]
+                values.append(flat[stretches(begins[some], sizes[some])])
             doc_ids.extend(row["doc_ids"])
-        numbers = np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32)
-        lists = pa.LargeListArray.from_arrays(np.concatenate(ends), numbers)
+        numbers = np.concatenate(values) if values else np.zeros(0, np.int32)
+        ends = np.cumsum(np.concatenate(counts))
+        lists = pa.LargeListArray.from_arrays(ends, numbers)
         return pa.table(
             {
                 "doc_id": pa.array(doc_ids, pa.int64()),
@@ -190,15 +206,15 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
         )
 
     dictionary = (
-        rows.mapInArrow(_distinct_words, WORDS)
+        rows.mapInArrow(lean(_distinct_words), WORDS)
         .groupBy("bucket")
-        .applyInPandas(ids_of_words, DICTIONARY)
+        .applyInPandas(lean(ids_of_words), DICTIONARY)
     )
-    positions = rows.mapInArrow(_positions, POSITIONS)
+    positions = rows.mapInArrow(lean(_positions), POSITIONS)
     return (
         positions.groupBy("block")
         .cogroup(dictionary.groupBy("block"))
-        .applyInArrow(put_together, "doc_id long, ids array<int>")
+        .applyInArrow(lean(put_together), "doc_id long, ids array<int>")
     )
 
 
@@ -210,16 +226,22 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rank = {rank: token for token, rank in ranks_of(ranks).items()}
+        by_rank = sorted((rank, token) for token, rank in ranks_of(ranks).items())
+        sizes = np.zeros(by_rank[-1][0] + 1, np.int64)
+        sizes[[rank for rank, _ in by_rank]] = [len(token) for _, token in by_rank]
+        begins = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(token for _, token in by_rank), np.uint8)
         for batch in batches:
-            decoded = [
-                b"".join(map(by_rank.__getitem__, ids.values.to_pylist())) if ids.is_valid else b""
-                for ids in batch["ids"]
-            ]
+            decoded = []
+            for ids in batch["ids"]:
+                numbers = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
+                if len(numbers) and not sizes[numbers].all():
+                    raise ValueError("an id is not in the table of token bytes")
+                decoded.append(flat[stretches(begins[numbers], sizes[numbers])].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["ids"], pa.array(decoded, pa.binary())],
                 names=["doc_id", "ids", "decoded"],
             )
 
     schema = "doc_id long, ids array<int>, decoded binary"
-    return encoded.select("doc_id", "ids").mapInArrow(to_bytes, schema)
+    return encoded.select("doc_id", "ids").mapInArrow(lean(to_bytes), schema)
