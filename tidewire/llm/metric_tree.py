@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewire.llm.common import stored
+from tidewire.llm.common import lean, stored
 from tidewire.llm.repeats import packed, unpacked
 
 #: Vectors of one tree, queries of one block, entries of one page, routing vectors at most.
-TREE, BLOCK, PAGE, ROUTES = 16_384, 256, 128, 64
+TREE, BLOCK, PAGE, ROUTES = 16_384, 256, 512, 64
 #: Whole numbers up to this give exact sums of products as doubles.
 EXACT = 2**53
 
@@ -331,7 +331,7 @@ def nearest(
                     names=["query_id", "query", "vec_id", "score"],
                 )
 
-    found = work.mapInArrow(search, "query_id long, query long, vec_id long, score long")
+    found = work.mapInArrow(lean(search), "query_id long, query long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
