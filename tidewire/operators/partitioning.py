@@ -19,8 +19,8 @@ def spread(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     large table is ever shuffled for this. Select the needed columns first.
     """
     wanted = tasks or rows.sparkSession.sparkContext.defaultParallelism
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
-    if int(size) >= SMALL_BYTES or rows.rdd.getNumPartitions() >= wanted:
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= SMALL_BYTES or rows.rdd.getNumPartitions() >= wanted:
         return rows
     return rows.repartition(wanted)
 
