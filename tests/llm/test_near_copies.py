@@ -1,0 +1,44 @@
+"""Near copies of the pipeline against brute force by exact Jaccard similarity."""
+
+import itertools
+import random
+
+from tests.llm.conftest import prose
+from tidewire.llm import simhash
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def edited(text, changes, seed):
+    draw, words = random.Random(seed), text.split()
+    for at in draw.sample(range(len(words)), changes):
+        words[at] = f"edit{seed}x{at}"
+    return " ".join(words)
+
+
+def test_near_copies_equal_brute_force(frame):
+    """Pairs on both sides of 0.8, among them ones that 6 bits of 64 judge wrongly."""
+    rows = []
+    for k in range(40):
+        base = prose(k, 200)
+        rows += [(10 * k + 1, base), (10 * k + 3, edited(base, 3 if k % 2 else 6, k))]
+    rows += [(1000 + k, edited(rows[0][1], 8, 100 + k)) for k in range(30)]  # a group of many
+    rows += [(None, rows[0][1]), (2000, None), (2001, "")]
+    texts = [(i, t, shingles(t)) for i, t in rows if t and i is not None]
+    prints = {i: simhash.fingerprint(t, 5) for i, t, _ in texts}
+    groups = simhash.Groups(len(texts))
+    far = wrong = 0
+    for (x, (i, _, a)), (y, (j, _, b)) in itertools.combinations(enumerate(texts), 2):
+        same, bits = 5 * len(a & b) >= 4 * len(a | b), (prints[i] ^ prints[j]).bit_count()
+        far += same and bits > 6
+        wrong += not same and bits <= 6
+        if same:
+            groups.join(x, y)
+    assert far and wrong
+    expected = {texts[x][0]: texts[groups.root(x)][0] for x in range(len(texts))}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(rows)).collect()}
+    assert got.pop(None) == expected[1] and got.pop(2000) == got.pop(2001) == 2000
+    assert got == expected
