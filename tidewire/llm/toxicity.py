@@ -1,11 +1,11 @@
-"""Toxicity by compression distance: which of two dictionaries makes a window shorter."""
+"""Toxicity by compression distance: how much shorter toxic dictionaries make a window than an ordinary one."""
 
 from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +25,8 @@ LEVEL, MATCH = 6, 4
 EXCESS = 7
 #: Where a document's numbers come from: the gain of a window that counts.
 SOME, MUCH = 2, 4
+#: How many: five for each toxic dictionary, and the text's length.
+NUMBERS = 11
 
 
 def windows(data: bytes) -> list[bytes]:
@@ -41,9 +43,10 @@ def windows(data: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """Contents of the two dictionaries and the calibration of the gains to a probability."""
+    """Contents of the dictionaries and the calibration of the gains to a probability."""
 
     toxic: bytes
+    stems: bytes
     ordinary: bytes
     means: tuple[float, ...]
     scales: tuple[float, ...]
@@ -66,24 +69,27 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 @lru_cache(maxsize=4)
-def _compressors(toxic: bytes, ordinary: bytes):
-    return _compressor(toxic).compress, _compressor(ordinary).compress
+def _compressors(*contents: bytes):
+    return [_compressor(content).compress for content in contents]
 
 
 def gains(text: str, model: Model) -> tuple[float, ...]:
-    """How much shorter the toxic dictionary makes the windows of a text than the other one."""
-    toxic, ordinary = _compressors(model.toxic, model.ordinary)
-    each = [len(ordinary(w)) - len(toxic(w)) for w in windows(text.lower().encode())] or [0]
-    gain = np.array(each, float)
-    top = np.sort(gain)[::-1]
-    return (
-        gain.clip(0).mean(),
-        (gain >= SOME).mean(),
-        (gain >= MUCH).mean(),
-        top[0],
-        top[:3].mean(),
-        float(np.log(len(gain))),
-    )
+    """How much shorter each toxic dictionary makes the windows of a text than the ordinary one."""
+    *others, ordinary = _compressors(model.toxic, model.stems, model.ordinary)
+    cut = windows(text.lower().encode())
+    plain = np.array([len(ordinary(w)) for w in cut] or [0], float)
+    numbers: list[float] = []
+    for shorter in others:
+        gain = plain - np.array([len(shorter(w)) for w in cut] or [0], float)
+        top = np.sort(gain)[::-1]
+        numbers += [
+            gain.clip(0).mean(),
+            (gain >= SOME).mean(),
+            (gain >= MUCH).mean(),
+            top[0],
+            top[:3].mean(),
+        ]
+    return (*numbers, float(np.log(len(plain))))
 
 
 def probability(numbers: np.ndarray, model: Model) -> np.ndarray:
@@ -132,47 +138,65 @@ def telling_stems(rows: list[tuple[str, int]]) -> list[bytes]:
     return [stem.encode() for _, stem in sorted(told)]
 
 
+def _split(rows: list[tuple[str, int]]) -> tuple[list, list]:
+    """Two thirds to learn from and the rest to check, of each class; a class of one row is in both."""
+    learn, check = [], []
+    for label in (0, 1):
+        own = sorted({row for row in rows if row[1] == label})
+        random.Random(7).shuffle(own)
+        cut = 2 * len(own) // 3
+        learn += own[:cut] if cut else own
+        check += own[cut:]
+    return learn, check
+
+
 def fit(rows: list[tuple[str, int]], share: float) -> Model:
     """Train the dictionaries on two thirds of labelled texts and calibrate on the rest.
 
-    Both dictionaries share one part, trained on windows of ordinary text. Before
-    it the toxic one holds the telling stems of toxic text, the ordinary one
-    the same amount from more ordinary windows, so that only these differ.
-    ``share``: of toxic texts among all labelled ones, to which the
-    probabilities are calibrated.
+    All dictionaries share one part, trained on windows of ordinary text, and
+    differ in the part before it: the toxic one's is trained on windows of
+    toxic texts, the ordinary one's on more windows of ordinary text; that of
+    the stems has the telling stems in place of a part of the latter, or is the
+    ordinary one where no stem tells. ``share``: of toxic
+    texts among all labelled ones, to which the probabilities are calibrated;
+    the score of every text where one class has no text.
     """
-    distinct = sorted(set(rows))
-    random.Random(7).shuffle(distinct)
-    cut = 2 * len(distinct) // 3
-    learn, check = distinct[:cut], distinct[cut:]
+    learn, check = _split(rows)
+    of_class: list[list[bytes]] = [[], []]
+    for text, label in learn:
+        of_class[label] += windows(text.lower().encode())
+    for seed, own in zip((8, 9), of_class):
+        random.Random(seed).shuffle(own)
+    plain, toxic = of_class
     told = b"".join(b" " + w for w in telling_stems(learn))[-OWN:]
-    plain = [w for text, label in learn if not label for w in windows(text.lower().encode())]
-    random.Random(8).shuffle(plain)
     shared = _trained(plain[:40_000], SHARED)
-    other = _trained(plain[40_000:80_000] or plain, len(told)) if told else b""
-    neutral = (0.0,) * 6
-    model = Model(told + shared, other + shared, neutral, (1.0,) * 6, neutral, 0.0)
+    other = _trained(plain[40_000:80_000] or plain, OWN)
+    own = _trained(toxic[:40_000], OWN)
+    stems = told + other[len(told) :]
+    neutral = (0.0,) * NUMBERS
+    model = Model(
+        own + shared, stems + shared, other + shared, neutral, (1.0,) * NUMBERS, neutral, 0.0
+    )
     labels = np.array([label for _, label in check], float)
-    if not told or not 0 < labels.sum() < len(labels):
+    if not 0 < labels.sum() < len(labels):
         bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-        return Model(model.toxic, model.ordinary, neutral, (1.0,) * 6, neutral, bias)
+        return replace(model, bias=bias)
     numbers = np.array([gains(text, model) for text, _ in check])
     means, scales = numbers.mean(axis=0), numbers.std(axis=0) + 1e-6
     inputs = np.column_stack([(numbers - means) / scales, np.ones(len(numbers))])
-    weights, ridge = np.zeros(7), np.diag([1.0] * 6 + [1e-3])
+    weights, ridge = np.zeros(NUMBERS + 1), np.diag([1.0] * NUMBERS + [1e-3])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(inputs @ weights, -30, 30)))
         slope = inputs.T @ (labels - p) - ridge @ weights
         weights += np.linalg.solve((inputs * (p * (1 - p))[:, None]).T @ inputs + ridge, slope)
     seen = labels.mean()
     shift = np.log(share / (1 - share)) - np.log(seen / (1 - seen))
-    return Model(
-        model.toxic,
-        model.ordinary,
-        tuple(means.tolist()),
-        tuple(scales.tolist()),
-        tuple(weights[:6].tolist()),
-        float(weights[6] + shift),
+    return replace(
+        model,
+        means=tuple(means.tolist()),
+        scales=tuple(scales.tolist()),
+        weights=tuple(weights[:-1].tolist()),
+        bias=float(weights[-1] + shift),
     )
 
 
@@ -223,14 +247,14 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
 def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every document, one row for each.
 
-    The whole text is cut into windows; both dictionaries compress each. No
+    The whole text is cut into windows; the three dictionaries compress each. No
     shuffle. Null or empty text: scored as a text without gains. Repeated rows:
     scored each. No rows: no rows.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = np.array([gains(t.as_py(), model) for t in batch["text"]]).reshape(-1, 6)
+            numbers = np.array([gains(t.as_py(), model) for t in batch["text"]]).reshape(-1, NUMBERS)
             p = probability(numbers, model)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(p), pa.array((p >= threshold).astype(np.int32))],
