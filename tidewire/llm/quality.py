@@ -21,14 +21,15 @@ FEATURES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats", "x_upper
 UNIT = 256
 #: Words of five letters added to a text's shares, so that few words don't make them extreme.
 FEW = 20
-#: Standard deviation that each feature is granted at least, in its own unit.
-FLOORS = (0.25, 0.1, 0.1, 0.2, 0.2, 0.1)
+#: Standard deviation that each feature is granted at least, in its own unit: about what one
+#: symbol or capital more in some 400 letters adds, or one equal line or word in some 100.
+FLOORS = (0.25, 0.1, 0.05, 0.1, 0.1, 0.05)
 #: Share of the rows in the minimum-covariance subset, C-steps, bins of log distance.
 SUBSET, STEPS, BINS = 0.75, 4, 64
 #: Rows a group needs for an estimate of its own; smaller ones are pooled.
 LEAST = 200
 #: A clean row exceeds the limit with this probability, were the features normal.
-RISK = 1e-9
+RISK = 1e-5
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 
 
