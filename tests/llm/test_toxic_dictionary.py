@@ -25,3 +25,12 @@ def test_each_class_learns_and_checks():
         assert {y for _, y in learn} == {y for _, y in check} == {0, 1}
         model = toxicity.fit(rows, 0.1)
         assert any(model.weights)
+
+
+def test_an_id_repeated_often_teaches_one_row(spark, frame, monkeypatch):
+    docs = frame([(7, f"text {k} of one id") for k in range(50)] + [(8, "another text"), (8, None)])
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    taught = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, share: taught.extend(rows))
+    toxicity.learned(docs, labels)
+    assert sorted(label for _, label in taught) == [0, 1]

@@ -212,7 +212,8 @@ def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = b" ".join(data[at : at + part] for at in places)
             cut.append(data.decode(errors="ignore"))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cut, pa.string()), batch["toxic"]], names=["text", "toxic"]
+            [batch["doc_id"], batch["text_hash"], pa.array(cut, pa.string()), batch["toxic"]],
+            names=["doc_id", "text_hash", "text", "toxic"],
         )
 
 
@@ -220,8 +221,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit a model on a bounded sample of labelled documents.
 
     ``labels``: doc_id, toxic (0 or 1). Of each class the TRAIN_ROWS ids with
-    the smallest hashes, of each text at most TRAIN_BYTES; that reaches the
-    driver. Rows without id or label teach nothing; an id labelled twice is
+    the smallest hashes, of each id the row with the smallest text hash, of each
+    text at most TRAIN_BYTES; that reaches the driver. Rows without id or label teach nothing; an id labelled twice is
     toxic if any says so. Without both classes every text gets the share of
     toxic labels as its score.
     """
@@ -238,8 +239,15 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
         for label in (0, 1)
     ]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * TRAIN_ROWS narrow rows
-    cut = texts(docs).join(sample, "doc_id").select("text", "toxic")
-    rows = cut.mapInArrow(_excerpts, "text string, toxic int").collect()
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    cut = texts(docs, text_hash).join(sample, "doc_id").select("doc_id", "text_hash", "text", "toxic")
+    rows = (
+        cut.mapInArrow(_excerpts, "doc_id long, text_hash long, text string, toxic int")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("text_hash", "text", "toxic")).alias("row"))
+        .select("row.text", "row.toxic")
+        .collect()
+    )
     share = (counts[1] + 0.5) / (counts[0] + 1) if counts[0] else 0.0
     return fit([(row["text"], row["toxic"]) for row in rows], share)
 
