@@ -439,8 +439,8 @@ def near_copies(docs: DataFrame, radius: int = 6, words: int = 5) -> DataFrame:
     pairs near SHARE. No candidate counts as a link before its two texts are
     compared, shingle by shingle. First each text meets a few of its bucket;
     then all pairs of a bucket that those links leave apart meet, so no
-    candidate that could join two groups is left out, and a large group of near
-    copies doesn't give its pairs.
+    candidate that could join two groups is left out. A group that the first links
+    leave in pieces gives the pairs between them, up to the square of its size.
 
     Texts without words: one group. Null text: empty. Null doc_id: never the
     smallest of a component that has an id. Repeated rows: the same component.
