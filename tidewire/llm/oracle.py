@@ -125,9 +125,54 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
   FROM scored) WHERE rank <= 5"""
 
+#: Phrases of 2 to 4 words, cut in two, per language.
+PHRASES = r"""
+WITH pieces AS (
+  SELECT doc_id, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM (
+    SELECT doc_id, coalesce(lang, 'und') AS lang,
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents)),
+cut AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words
+  FROM pieces),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM cut GROUP BY lang),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS size),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2),
+    lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+  FROM cut, sizes WHERE len(words) >= size),
+counted AS (
+  SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY lang, size, phrase
+  HAVING count(*) >= 30),
+split AS (SELECT *, string_split(phrase, ' ') AS words FROM counted WHERE size > 1),
+cuts AS (
+  SELECT lang, phrase, f, k, array_to_string(words[1:k], ' ') AS head,
+    array_to_string(words[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM split)),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, h.f AS l, t.f AS r,
+    (2000000::HUGEINT * c.f) // (h.f::HUGEINT + t.f) AS score
+  FROM cuts c JOIN counted h ON h.lang = c.lang AND h.phrase = c.head
+    JOIN counted t ON t.lang = c.lang AND t.phrase = c.tail),
+least AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS no FROM scored)
+  WHERE no = 1),
+inside AS (
+  SELECT lang, f, array_to_string(words[i:i + m - 1], ' ') AS phrase FROM (
+    SELECT lang, f, words, m, unnest(range(1, size - m + 2)) AS i FROM (
+      SELECT *, unnest(range(2, size)) AS m FROM split WHERE size > 2))),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY lang, phrase),
+free AS (
+  SELECT s.* FROM least s LEFT JOIN longer x ON x.lang = s.lang AND x.phrase = s.phrase
+  WHERE x.f IS NULL OR 100::HUGEINT * x.f < 80::HUGEINT * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+  JOIN totals USING (lang) WHERE rank <= 2000"""
+
 ORACLES = {
     "op2_blob_ledger": _secrets(),
     "op6_suffix_dedup": SUFFIXES,
     "op8_difference_cover": WINDOWS,
     "op9_metric_tree": NEAREST,
+    "op11_collocations": PHRASES,
 }

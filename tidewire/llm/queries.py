@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import (
     codec,
+    collocations,
     metric_tree,
     packing,
+    periodic_runs,
     quality,
     secrets,
     simhash,
@@ -140,6 +142,48 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """The documents; of a tenth of them the words from some place on repeat with some period."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    # For a row that isn't chosen nothing below is evaluated but ``chosen``.
+    shaped = docs.select(
+        "doc_id",
+        "text",
+        F.when(chosen, words).alias("words"),
+        F.floor(F.crc32(F.col("doc_id").cast("string")) / 10).alias("g"),
+    ).withColumn("n", F.size("words"))
+    placed = shaped.withColumn("a", F.expr("if(n > 0, g % n, null)")).withColumn(
+        "p", F.expr("1 + (n - a) div (3 + g % 8)")
+    )
+    repeated = F.expr(
+        "array_join(transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p AS int)])), ' ')"
+    )
+    return placed.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of the words of every document, and its words with each run collapsed."""
+    docs = _made_periodic(_table(spark, folder, "documents"))
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    best = F.col("strongest")
+    return periodic_runs.collapse_runs(docs).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_blob_ledger": op2_blob_ledger,
@@ -151,4 +195,6 @@ QUERIES = {
     "op8_difference_cover": op8_difference_cover,
     "op9_metric_tree": op9_metric_tree,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
+    "op13_periodic_runs": op13_periodic_runs,
 }
