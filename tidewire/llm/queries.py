@@ -10,6 +10,7 @@ from tidewire.llm import (
     codec,
     collocations,
     metric_tree,
+    neighbour_votes,
     packing,
     periodic_runs,
     quality,
@@ -147,6 +148,16 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
 
 
+def op12_neighbour_votes(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; labels of a third of the ids are held out."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = neighbour_votes.learned(docs, labels.where(~held_out))
+    return neighbour_votes.scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
 def _made_periodic(docs: DataFrame) -> DataFrame:
     """The documents; of a tenth of them the words from some place on repeat with some period."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -196,5 +207,6 @@ QUERIES = {
     "op9_metric_tree": op9_metric_tree,
     "op10_simhash": op10_simhash,
     "op11_collocations": op11_collocations,
+    "op12_neighbour_votes": op12_neighbour_votes,
     "op13_periodic_runs": op13_periodic_runs,
 }
