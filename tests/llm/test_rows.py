@@ -405,7 +405,7 @@ def test_pipeline_against_its_parts(spark, tables, documents):
     """The pipeline's pieces are those of the documents brute force keeps."""
     verdicts = {r["doc_id"]: r["kept"] for r in quality.quality(documents).collect()}
     rows = [(i, t) for i, t in sorted(pairs_of(documents)) if verdicts[i]]
-    roots = brute_components([brute_fingerprint(t, 5) for _, t in rows], 6)
+    roots = brute_components([brute_fingerprint(t, 4) for _, t in rows], 4)
     rows = [row for k, row in enumerate(rows) if roots[k] == k]
     seen: set = set()
     expected = {}

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, BK-trees of shards, components; verified near copies."""
+"""SimHash near-duplicates: fingerprints, BK-trees of shards, components."""
 
 from __future__ import annotations
 
@@ -19,14 +19,6 @@ BITS = 64
 TREE, TOGETHER = 8192, 2048
 #: Rows of the shards that one task takes together, about.
 ROWS = 200_000
-#: Of the shingles of two near copies at least 4 in 5 are common to both.
-SHARE = (4, 5)
-#: Minimal hashes of a text: so many groups of so many. Of pairs that share 0.8,
-#: 1 - (1 - 0.8 ** 6) ** 24 = 0.9993 agree in a group.
-BANDS, AGREE = 24, 6
-FACTORS = np.random.default_rng(11).integers(0, 2**63, BANDS * AGREE, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Texts of a bucket that all others of it are compared with first.
-HUBS = 3
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -274,211 +266,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     )
 
 
-def _shingles(text: str, words: int) -> set[bytes]:
-    """The distinct shingles that ``fingerprint`` hashes; none without words."""
-    found = text.encode().lower().split()
-    if len(found) > words:
-        return set(map(b" ".join, zip(*(found[k:] for k in range(words)))))
-    return {b" ".join(found)} if found else set()
-
-
-def minima(text: str, words: int) -> tuple[int, list[int]]:
-    """The number of distinct shingles, and a key for each of BANDS groups of AGREE minimal hashes."""
-    of = xxhash.xxh64_intdigest
-    hashes = np.fromiter([of(s, 42) for s in _shingles(text, words)], "<u8")
-    least = np.full(BANDS * AGREE, 2**64 - 1, np.uint64)
-    for begin in range(0, len(hashes), 256):
-        np.minimum(least, (hashes[begin : begin + 256, None] * FACTORS).min(axis=0), out=least)
-    bands = least.astype("<u8").reshape(BANDS, AGREE)
-    return len(hashes), [_signed(of(band.tobytes())) for band in bands]
-
-
-def alike(left: str, right: str, words: int) -> bool:
-    """Whether the texts share at least SHARE of the shingles of both; without words, both."""
-    a, b = _shingles(left, words), _shingles(right, words)
-    common = len(a & b)
-    return SHARE[1] * common >= SHARE[0] * (len(a) + len(b) - common)
-
-
-def _buckets(docs: DataFrame, marked: DataFrame, words: int) -> DataFrame:
-    """band, key, text_hash, n_shingles: texts that share a bucket with others, each text once.
-
-    A bucket is one key of one band, or (band -1) one component by fingerprints.
-    """
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [minima(t.as_py(), words) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["text_hash"],
-                    pa.array([n for n, _ in found], pa.int64()),
-                    pa.array([keys for _, keys in found], pa.list_(pa.int64())),
-                ],
-                names=["text_hash", "n_shingles", "keys"],
-            )
-
-    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
-    sketches = stored(
-        texts(docs, text_hash)
-        .mapInArrow(lean(compute), "text_hash long, n_shingles long, keys array<long>")
-        .dropDuplicates(["text_hash"]),
-        "sketches",
-    )
-    by_fingerprint = (
-        marked.where("component_id IS NOT NULL")
-        .select("text_hash", F.col("component_id").alias("key"))
-        .distinct()
-        .join(sketches.select("text_hash", "n_shingles"), "text_hash")
-        .select(F.lit(-1).alias("band"), "key", "text_hash", "n_shingles")
-    )
-    entries = sketches.select(
-        F.posexplode("keys").alias("band", "key"), "text_hash", "n_shingles"
-    ).unionByName(by_fingerprint)
-    shared = stored(
-        entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"),
-        "shared",
-    )
-    return stored(entries.join(shared, ["band", "key"]), "buckets")
-
-
-def _pairs(both: DataFrame) -> DataFrame:
-    """(a, b), a the smaller, of rows with text_hash and n_shingles and the other's, where
-    the numbers of shingles allow SHARE."""
-    fits = (
-        F.least("n_shingles", "other_shingles") * SHARE[1]
-        >= F.greatest("n_shingles", "other_shingles") * SHARE[0]
-    )
-    return (
-        both.where((F.col("text_hash") != F.col("other_hash")) & fits)
-        .select(
-            F.least("text_hash", "other_hash").alias("a"),
-            F.greatest("text_hash", "other_hash").alias("b"),
-        )
-        .distinct()
-    )
-
-
-def _hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Each text of a bucket with HUBS chosen ones of it: as many pairs as rows, times HUBS."""
-    hubs = stored(
-        buckets.groupBy("band", "key").agg(
-            *(
-                F.min_by(
-                    F.struct("text_hash", "n_shingles"), F.xxhash64("text_hash", F.lit(k))
-                ).alias(f"hub{k}")
-                for k in range(HUBS)
-            )
-        ),
-        "hubs",
-    )
-    hub = F.explode(F.array_distinct(F.array(*(f"hub{k}" for k in range(HUBS))))).alias("hub")
-    return _pairs(
-        buckets.join(hubs, ["band", "key"])
-        .select("text_hash", "n_shingles", hub)
-        .select(
-            "text_hash",
-            "n_shingles",
-            F.col("hub.text_hash").alias("other_hash"),
-            F.col("hub.n_shingles").alias("other_shingles"),
-        )
-    )
-
-
-def _cross_pairs(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose texts ``roots`` (a, root) doesn't join yet."""
-    labelled = stored(
-        buckets.join(roots.withColumnRenamed("a", "text_hash"), "text_hash", "left").select(
-            "band", "key", "text_hash", "n_shingles", F.coalesce("root", "text_hash").alias("root")
-        ),
-        "labelled",
-    )
-    split = stored(
-        labelled.groupBy("band", "key")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low != high")
-        .select("band", "key"),
-        "split",
-    )
-    open_rows = stored(labelled.join(split, ["band", "key"]), "open")
-    groups = stored(open_rows.select("band", "key", "root").distinct(), "groups")
-    apart = groups.join(
-        groups.withColumnRenamed("root", "other_root"), ["band", "key"]
-    ).where("root < other_root")
-    others = open_rows.select(
-        "band",
-        "key",
-        F.col("root").alias("other_root"),
-        F.col("text_hash").alias("other_hash"),
-        F.col("n_shingles").alias("other_shingles"),
-    )
-    return _pairs(
-        apart.join(open_rows, ["band", "key", "root"]).join(others, ["band", "key", "other_root"])
-    )
-
-
-def _verified(pairs: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are ``alike``."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts_of = zip(batch["left"].to_pylist(), batch["right"].to_pylist())
-            good = pa.array([alike(x, y, words) for x, y in texts_of], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
-
-    left = bodies.select(F.col("text_hash").alias("a"), F.col("text").alias("left"))
-    right = bodies.select(F.col("text_hash").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(lean(check), "a long, b long")
-
-
-def near_copies(docs: DataFrame, radius: int = 6, words: int = 5) -> DataFrame:
-    """doc_id, text_hash, component_id: documents linked when they share SHARE of their shingles.
-
-    Candidates are texts of one component by fingerprints (``near_duplicates``)
-    and texts that agree in a band of minimal hashes: 64 bits alone miss most
-    pairs near SHARE. No candidate counts as a link before its two texts are
-    compared, shingle by shingle. First each text meets a few of its bucket;
-    then all pairs of a bucket that those links leave apart meet, so no
-    candidate that could join two groups is left out. A group that the first links
-    leave in pieces gives the pairs between them, up to the square of its size.
-
-    Texts without words: one group. Null text: empty. Null doc_id: never the
-    smallest of a component that has an id. Repeated rows: the same component.
-    No rows: no rows.
-    """
-    marked = stored(near_duplicates(docs, radius, words), "marked")
-    buckets = _buckets(docs, marked, words)
-    wanted = stored(buckets.select("text_hash").distinct(), "wanted")
-    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
-    bodies = stored(
-        texts(docs, text_hash).groupBy("text_hash").agg(F.first("text").alias("text")).join(wanted, "text_hash"),
-        "bodies",
-    )
-    tried = stored(_hub_pairs(buckets), "pairs")
-    roots = components(_verified(tried, bodies, words))
-    rest = stored(_cross_pairs(buckets, roots).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(rest, bodies, words)
-    ends = components(roots.withColumnRenamed("root", "b").unionByName(more))
-    rooted = stored(
-        marked.groupBy("text_hash")
-        .agg(F.min("doc_id").alias("first"))
-        .join(ends.withColumnRenamed("a", "text_hash"), "text_hash", "left")
-        .select("text_hash", "first", F.coalesce("root", "text_hash").alias("root")),
-        "rooted",
-    )
-    named = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "named")
-    named = stored(rooted.join(named, "root").select("text_hash", "component_id"), "named")
-    return marked.select("doc_id", "text_hash").join(named, "text_hash")
-
-
-def one_of_each_group(docs: DataFrame, radius: int = 6, words: int = 5) -> DataFrame:
+def one_of_each_group(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """The documents without near duplicates of a smaller doc_id, all their columns.
 
-    Near duplicates are those of ``near_copies``. Documents without id stay; so
-    do rows repeated with the id that stays.
+    Near duplicates are those of ``near_duplicates``: one component by
+    fingerprints. Documents without id stay; so do rows repeated with the id
+    that stays.
     """
     dropped = stored(
-        near_copies(docs, radius, words)
+        near_duplicates(docs, radius, words)
         .where("doc_id IS NOT NULL AND doc_id != component_id")
         .select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash"))
         .distinct(),
