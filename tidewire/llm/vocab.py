@@ -1,4 +1,4 @@
-"""Token ids of whole texts by published vocabularies, each distinct word encoded once."""
+"""Token ids of words and of whole texts by published vocabularies."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Where cutting a text at single blanks would not give the pieces above.
 IRREGULAR = re.compile(f" [{SPACE}]|[{SPACE[7:]}]| $")
-#: Words that one Python worker remembers.
-REMEMBERED = 150_000
+#: Where a pre-token begins whatever is around it: a blank between words.
+BEGINS = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
 
 def pieces(text: str) -> list[str]:
@@ -49,23 +49,18 @@ def encoding_of(path: str) -> tiktoken.Encoding:
     )
 
 
-class Encoder(dict):
-    """piece -> its ids as little-endian 32-bit numbers; forgets all when full."""
+class Encoder:
+    """Ids of one pre-token, and of a whole text as little-endian 32-bit numbers.
+
+    Nothing is remembered: the library cuts and encodes a text about twice as
+    fast as its words can be looked up one by one.
+    """
 
     def __init__(self, ranks_path: str):
-        super().__init__()
         encoding = encoding_of(ranks_path)
         self.one = encoding._core_bpe.encode_single_piece
         self.any = encoding.encode_ordinary
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.ids(piece)).tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
     def ids(self, piece: str) -> list[int]:
         if piece.isascii():
             word = piece[1:] if piece[:1] == " " else piece
@@ -76,12 +71,21 @@ class Encoder(dict):
         return self.any(piece)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, pieces(text)))
+        return b"".join(array("I", self.any(part)).tobytes() for part in stretches(text))
+
+
+def stretches(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text cut where a pre-token always begins, after ``size`` characters each."""
+    begin = 0
+    while len(text) - begin > size and (cut := BEGINS.search(text, begin + size)):
+        yield text[begin : cut.start()]
+        begin = cut.start()
+    yield text[begin:]
 
 
 @lru_cache(maxsize=4)
 def encoder(ranks_path: str) -> Encoder:
-    """One per Python worker, so words met again in a later task are known."""
+    """One per Python worker."""
     return Encoder(ranks_path)
 
 
