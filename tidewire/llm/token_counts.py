@@ -15,14 +15,17 @@ from tidewire.llm.common import lean, texts
 
 #: Characters of a chunk of a huge document, and of the first overlap tried.
 CHUNK, OVERLAP = 32_768, 512
-#: Words one Python worker remembers.
-REMEMBERED = 150_000
+#: Words one Python worker remembers, about.
+REMEMBERED = 300_000
 #: Separators that end a pre-token in any context (fixed values).
 BLANKS = " \t\n\v\f\r"
 
 
 class Counter(dict):
-    """word -> number of tokens, as the library gives it; forgets all when full.
+    """word -> number of tokens, as the library gives it.
+
+    Of the words remembered half are the newest; when these are full the older
+    half is dropped, except for words met again meanwhile.
 
     The vocabulary's pre-tokens never hold white space, normalisation doesn't
     cross ASCII white space, and no special token holds any. So the count of a
@@ -33,12 +36,15 @@ class Counter(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.older: dict[bytes, int] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if len(self) + len(new) > REMEMBERED:
+        if 2 * len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-            new = list(dict.fromkeys(words))
+        missing = [w for w in dict.fromkeys(words) if w not in self]
+        self.update((w, self.older[w]) for w in missing if w in self.older)
+        new = [w for w in missing if w not in self.older]
         for begin in range(0, len(new), 4096):
             part = new[begin : begin + 4096]
             encoded = self.tokenizer.encode_batch_fast(
