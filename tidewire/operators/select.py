@@ -33,7 +33,7 @@ def on_topic(
     """
     found = mentions_all(topic, *[F.col(name) for name in text])
     if language is not None:
-        found = found & (F.col(language_column) == language)
+        found = (F.col(language_column) == language) & found  # the cheap test first
     return articles.where(found)
 
 
