@@ -6,6 +6,12 @@ of its URL, writer and batch. Asking which URLs are known opens only the
 directories the asked URLs fall into, and finding out which articles have
 several versions never touches the vectors.
 
+Once the keys of ``merge_after`` batches have piled up they move to an archive
+(``KeyArchive``) while the stream goes on. A lookup then reads the keys of the
+latest batches and a filter of fixed size, and opens the archive only for URLs
+that the filter lets through, so it doesn't grow with the number of batches.
+The latest batch of each writer stays where it is, as it may be run again.
+
 A writer is one stream (its checkpoint) or one series of batch runs. Its batch
 N replaces only its own partition N in both tables, and lookups for it see all
 rows but those. So a batch that fails half way can be run again with the same
@@ -24,6 +30,8 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.dedup import exists_in, only_new
 from tidewire.operators.ranking import top_n
+from tidewire.plans.session import shared_folder
+from tidewire.sources.archive import KeyArchive, folders, partition_values, remove
 from tidewire.sources.schemas import METADATA_FIELDS
 
 POINT_COLUMNS = ("doc_id", "chunk_id", "pos", "text", "embedding", "metadata")
@@ -53,6 +61,7 @@ class VectorStore:
     the life of a store; choose it so that one bucket's URLs stay a small file.
     ``dimensions`` is the size of its vectors; without it that of the vectors
     already stored. A vector of another size is refused on writing.
+    ``filter_pages``, fixed as well, are the pages of the archive's filter.
     """
 
     spark: SparkSession
@@ -60,6 +69,8 @@ class VectorStore:
     granularity: str = "chunk"
     url_buckets: int = 16
     dimensions: int | None = None
+    merge_after: int = 16
+    filter_pages: int = 256
 
     def __post_init__(self):
         if self.granularity not in IDENTITY:
@@ -93,16 +104,23 @@ class VectorStore:
     def _several_versions(self) -> DataFrame:
         """Articles written more than once, or with a point repeated in a batch; newest batch."""
         written = self.keys().groupBy("doc_id")
+        # A merge that was cut short leaves keys in both places; they have one batch.
         counted = written.agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("writer", "batch_id", "url").alias("n"),
             F.bool_or("repeated").alias("again"),
             F.max(F.struct("written_at", "writer", "batch_id")).alias("newest"),
         )
         return counted.where((F.col("n") > 1) | F.col("again")).select("doc_id", "newest")
 
+    @property
+    def archive(self) -> KeyArchive:
+        return KeyArchive(self.spark, self.root, KEY_SCHEMA, self.filter_pages)
+
     def keys(self, but: tuple[str, int] | None = None) -> DataFrame:
         """URLs stored so far, without those of the writer and batch ``but``."""
-        keys = self._read("keys", KEY_SCHEMA)
+        return self._without(self._read("keys", KEY_SCHEMA).unionByName(self.archive.keys()), but)
+
+    def _without(self, keys: DataFrame, but: tuple[str, int] | None) -> DataFrame:
         if but is None:
             return keys
         own = (F.col("writer") == but[0]) & (F.col("batch_id") == but[1])
@@ -132,11 +150,32 @@ class VectorStore:
         return exists_in(articles, self._keys_for(articles, None, url), url)
 
     def _keys_for(self, articles: DataFrame, but: tuple[str, int] | None, url: str) -> DataFrame:
-        """Keys in the buckets ``articles`` falls into: at most ``url_buckets`` numbers."""
-        asked = articles.select(self.bucket(F.col(url)).alias("b")).distinct().collect()
-        keys = self.keys(but).where(F.col("url_bucket").isin([row["b"] for row in asked]))
+        """Stored keys among which are all that ``articles`` ask for.
+
+        Of the latest batches those in the buckets they fall into, at most
+        ``url_buckets`` numbers; of the archive those the filter lets through.
+        The URLs asked for are written once, so ``articles`` isn't planned again.
+        """
+        path = shared_folder(self.spark, "asked")
+        articles.select(F.col(url).alias("url")).distinct().write.parquet(path)
+        asked = self.spark.read.schema("url string").parquet(path)
+        latest = self._read("keys", KEY_SCHEMA).where(
+            F.col("url_bucket").isin(self._buckets_of(asked))
+        )
+        keys = self._without(latest, but).select("url")
+        if self.archive.generation() is not None:
+            path = shared_folder(self.spark, "maybe")
+            self.archive.maybe(asked).write.parquet(path)
+            maybe = self.spark.read.schema("url string").parquet(path)
+            if buckets := self._buckets_of(maybe):
+                older = self.archive.keys().where(F.col("url_bucket").isin(buckets))
+                older = self._without(older, but).select("url")
+                keys = keys.unionByName(older.join(maybe, "url", "left_semi"))
         return keys.select(F.col("url").alias(url))
 
+    def _buckets_of(self, urls: DataFrame) -> list[int]:
+        return [row["b"] for row in urls.select(self.bucket(F.col("url")).alias("b")).distinct().collect()]
+
     # --- writing
 
     def write(self, points: DataFrame, batch_id: int, writer: str = MAIN) -> None:
@@ -157,10 +196,36 @@ class VectorStore:
         )
         keys = articles.select("*", stamp[0], self.bucket(F.col("url")).alias("url_bucket"), *stamp[1:])
         self._overwrite(keys.hint("rebalance", "url_bucket"), "keys", "url_bucket", "writer", "batch_id")
+        self._merge_keys()
+
+    def _merge_keys(self) -> None:
+        """Move the keys of all but each writer's latest batch to the archive, if many lie here.
+
+        They are removed here only once the archive's filter covers them. A
+        crash before that leaves some in both places, which no lookup minds.
+        """
+        found = folders(self.spark, f"{self.root}/keys/url_bucket=*/writer=*/batch_id=*")
+        batch_of = {}
+        for path in found:
+            values = partition_values(path)
+            batch_of[path] = values["writer"], int(values["batch_id"])
+        if len(set(batch_of.values())) <= self.merge_after:
+            return
+        latest = {}
+        for writer, batch in batch_of.values():
+            latest[writer] = max(batch, latest.get(writer, batch))
+        keys = self._read("keys", KEY_SCHEMA)
+        for newest in latest.items():
+            keys = self._without(keys, newest)
+        self.archive.merge(keys)
+        for path, (writer, batch) in batch_of.items():
+            if batch < latest[writer]:
+                remove(self.spark, path)
 
     def _partition(self, writer: str, batch_id: int) -> DataFrame:
         """One batch as stored; only its own directory is listed."""
-        path = f"{self.root}/points/writer={writer}/batch_id={batch_id}"
+        names = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        path = f"{self.root}/points/writer={names.escapePathName(writer)}/batch_id={batch_id}"
         try:
             return self.spark.read.schema(POINT_SCHEMA).parquet(path)
         except AnalysisException as error:  # a batch without points leaves no directory
