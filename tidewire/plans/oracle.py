@@ -112,10 +112,16 @@ windows AS (
 
 
 def _cosine_search(
-    corpus: str, keys: str, ties: str, group: str = "", asked: str = "benchmark", k: int = 10
+    corpus: str,
+    keys: str,
+    ties: str,
+    group: str = "",
+    asked: str = "benchmark",
+    k: int = 10,
+    buckets: int = 384,
 ) -> str:
     """CTEs from ``corpus(text, keys...)`` to ``ranked``: ``k`` per question of ``asked``."""
-    bucket = "('0x' || substr(md5(word), 1, 8))::BIGINT % 384"
+    bucket = f"('0x' || substr(md5(word), 1, 8))::BIGINT % {buckets}"
     one_per_group = (
         f"QUALIFY row_number() OVER (PARTITION BY item_id, {group} ORDER BY score DESC, {ties}) = 1"
         if group
@@ -372,6 +378,20 @@ scored AS (
 SELECT topic, vec_id, round(score, 6) AS score,
        (row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, vec_id))::INT AS rank
 FROM scored QUALIFY rank <= 10
+""",
+    "knn_join": """
+WITH sized AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v,
+         sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm
+  FROM embeddings
+),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_dot_product(q.v, r.v) / (q.norm * r.norm) AS score
+  FROM sized q JOIN sized r ON q.vec_id % 10 = 0 AND q.norm > 0 AND r.norm > 0
+)
+SELECT query_id, vec_id, round(score, 6) AS score,
+       (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id))::INT AS rank
+FROM scored QUALIFY rank <= 10
 """,
     "search_hits": f"""
 WITH {REFINED},
@@ -381,12 +401,16 @@ WITH {REFINED},
 SELECT item_id, rank, round(score, 6) AS score, printf('%.2f%%', 100 * score) AS score_percent,
        title, image_url, published_at AS date, url
 FROM ranked
+""",
+    "search_indexed": f"""
+WITH {_cosine_search(
+    f'SELECT doc_id, {_clean("text")} AS text FROM documents', "doc_id", "doc_id",
+    buckets=1 << 18)}
+SELECT item_id, rank, doc_id, round(score, 6) AS score FROM ranked
 """,
     "search_many": f"""
 WITH first_lines AS (
-  SELECT doc_id AS item_id,
-         CASE WHEN doc_id % 10 = 0 THEN '...' ELSE split_part(text, chr(10), 1) END AS text
-  FROM documents),
+  SELECT doc_id AS item_id, split_part(text, chr(10), 1) AS text FROM documents),
 {_cosine_search(
     f'SELECT doc_id, {_clean("text")} AS text FROM documents', "doc_id", "doc_id",
     asked="first_lines", k=3)}

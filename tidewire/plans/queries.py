@@ -16,6 +16,8 @@ from tidewire.operators.counts import ingest_counts as count_ingest
 from tidewire.operators.dedup import first_wins
 from tidewire.operators.embed import embed_dense as dense
 from tidewire.operators.embed import embed_sparse as sparse
+from tidewire.operators.inverted import search_index, write_index
+from tidewire.operators.knn_join import nearest_by_pivots
 from tidewire.operators.select import latest_per_feed as latest
 from tidewire.operators.select import on_topic, recent
 from tidewire.plans.inputs import (
@@ -328,15 +330,24 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same hits from an inverted index of 2 ** 18 buckets, written first."""
+    documents = texts(spark, folder, "documents").select(
+        "doc_id", clean_full(F.col("text")).alias("cleaned")
+    )
+    path = shared_folder(spark, "index")
+    index = write_index(documents, path, text="cleaned", keys=("doc_id",), dimensions=1 << 18)
+    hits = search_index(index, table(spark, folder, "benchmark"), question="item_id").hits
+    return hits.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 def search_many(spark: SparkSession, folder: str) -> DataFrame:
-    """The first line of every document as a question, some of them blank, in several blocks."""
+    """The first line of every document as a question, in several blocks."""
     cleaned = texts(spark, folder, "documents").select(
         "doc_id", clean_full(F.col("text")).alias("cleaned")
     )
-    line = F.substring_index("text", "\n", 1)
     asked = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("item_id"),
-        F.when(F.col("doc_id") % 10 == 0, F.lit("...")).otherwise(line).alias("text"),
+        F.col("doc_id").alias("item_id"), F.substring_index("text", "\n", 1).alias("text")
     )
     hits = search.search_text(
         cleaned, asked, 3, text="cleaned", ties=("doc_id",), question="item_id", block_rows=512
@@ -407,6 +418,14 @@ def search_articles(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("item_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def knn_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten vectors nearest to every tenth one, itself included, by Voronoi cells."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = rows.where(F.col("vec_id") % 10 == 0).withColumnRenamed("vec_id", "query_id")
+    hits, _ = nearest_by_pivots(rows, asked, search.Vectors("embedding", 64), ties=("vec_id",))
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 def _in_cells(spark: SparkSession, folder: str):
     """Vectors stored by cell, so that a search opens only the cells it probes."""
     rows, questions, vectors = _vectors(spark, folder)
@@ -495,9 +514,11 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_hits": search_hits,
     "search_filtered": search_filtered,
     "search_articles": search_articles,
+    "search_indexed": search_indexed,
     "search_many": search_many,
     "search_stored": search_stored,
     "search_stored_filtered": search_stored_filtered,
+    "knn_join": knn_join,
     "knn_lsh": knn_lsh,
     "knn_lsh_recall": knn_lsh_recall,
     "ingest_counts": ingest_counts,
