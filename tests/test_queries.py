@@ -7,8 +7,9 @@ import __spark_entry__ as registry
 from tidewire.plans.oracle import ORACLES
 from tidewire.plans.queries import REGISTERED
 
-# Stored vectors are 32-bit floats, and recall is no table; see test_search_stored.py.
-TESTED_OTHERWISE = {"search_stored", "search_stored_filtered", "knn_lsh_recall"}
+# Stored vectors are 32-bit floats, and recall is no table; see test_search_stored.py and
+# test_quantised.py.
+TESTED_OTHERWISE = {"search_stored", "search_stored_filtered", "knn_lsh_recall", "knn_codes_recall"}
 
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "

@@ -11,7 +11,7 @@ from tidewire.functions.dates import format_timestamp, parse_timestamp, publishe
 from tidewire.functions.ids import content_id
 from tidewire.functions.text import clean_full, collapse_space, strip_tags
 from tidewire.operators import chunk as chunks
-from tidewire.operators import search
+from tidewire.operators import quantised, search
 from tidewire.operators.counts import ingest_counts as count_ingest
 from tidewire.operators.dedup import first_wins
 from tidewire.operators.embed import embed_dense as dense
@@ -446,14 +446,36 @@ def knn_lsh_recall(spark: SparkSession, folder: str) -> DataFrame:
     """One pass over the nearest cells only: recall and share of all pairs scored."""
     assigned, questions, vectors, cells = _in_cells(spark, folder)
     near = search.nearest_in_cells(
-        assigned, questions, vectors, cells, n_probe=12, ties=("vec_id",), exact=False
+        assigned, questions, vectors, cells, n_probe=28, ties=("vec_id",), exact=False
     )
-    share = search.pairs_scored(assigned, questions, vectors, cells, 12)
+    share = search.pairs_scored(assigned, questions, vectors, cells, 28)
     exact = knn_topk(spark, folder).select("topic", "vec_id")
-    found = exact.join(near.select("topic", "vec_id", F.lit(1).alias("hit")), ["topic", "vec_id"], "left")
-    return found.agg(
-        F.round(F.count("hit") / F.count("*"), 6).alias("recall"),
-        F.lit(round(share, 6)).alias("share_of_pairs"),
+    return _recall(exact, near, "topic").withColumn("share_of_pairs", F.lit(round(share, 6)))
+
+
+def _recall(exact: DataFrame, near: DataFrame, question: str) -> DataFrame:
+    """Share of the exact neighbours that are among the near ones."""
+    hit = near.select(question, "vec_id", F.lit(1).alias("hit"))
+    found = exact.select(question, "vec_id").join(hit, [question, "vec_id"], "left")
+    return found.agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
+def knn_codes_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Every tenth vector against codes of all: recall, share of codes read and of pairs scored."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = rows.where(F.col("vec_id") % 10 == 0).withColumnRenamed("vec_id", "query_id")
+    vectors, keys, path = search.Vectors("embedding", 64), ("vec_id",), shared_folder(spark, "codes")
+    quantiser = quantised.trained(rows, vectors)
+    quantised.write_codes(rows, vectors, quantiser, keys, path)
+    codes = quantised.read_codes(spark, path)
+    probed = len(quantiser.pivots) * 7 // 8
+    near = quantised.nearest_by_codes(codes, rows, asked, vectors, quantiser, probed, keys=keys)
+    read = quantised.share_of_codes(codes, asked, vectors, quantiser, probed)
+    scored = quantised.AGAIN * search.TOP_K / max(codes.count(), 1)
+    return _recall(knn_join(spark, folder), near, "query_id").select(
+        "recall",
+        F.lit(round(read, 6)).alias("share_of_codes"),
+        F.lit(round(min(scored, 1.0), 6)).alias("share_of_pairs"),
     )
 
 
@@ -521,6 +543,7 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_join": knn_join,
     "knn_lsh": knn_lsh,
     "knn_lsh_recall": knn_lsh_recall,
+    "knn_codes_recall": knn_codes_recall,
     "ingest_counts": ingest_counts,
     "stream_ingest": stream_ingest,
 }
