@@ -25,15 +25,14 @@ def brute(rows, least, longest, first):
     found = []
     for lang, own in counts.items():
         good = {p: a for p, a in own.items() if len(p) > 1 and a >= least}
-        scored = []
+        scored, inside = [], defaultdict(int)  # the most frequent phrase that holds another
+        for longer, f in good.items():
+            for size in range(2, len(longer)):
+                for i in range(len(longer) - size + 1):
+                    part = longer[i : i + size]
+                    inside[part] = max(inside[part], f)
         for phrase, a in good.items():
-            inside = [
-                f
-                for longer, f in good.items()
-                if len(longer) > len(phrase)
-                and any(longer[i : i + len(phrase)] == phrase for i in range(len(longer)))
-            ]
-            if any(100 * f >= 80 * a for f in inside):
+            if phrase in inside and 100 * inside[phrase] >= 80 * a:
                 continue
             cuts = [
                 (2_000_000 * a // (own[phrase[:k]] + own[phrase[k:]]), k, own[phrase[:k]], own[phrase[k:]])
