@@ -140,14 +140,42 @@ def test_anchors_give_every_window_one_owner():
             assert by_window.setdefault(text[at : at + 100], key) == key
 
 
-def test_longest_previous_factor_of_a_text():
+def longest_before(raw, at, order, length):
+    """Longest previous factors by comparing every pair."""
+    found = []
+    for i, own in zip(at, order):
+        shared = [0]
+        for j, other in zip(at, order):
+            if other < own:
+                k = 0
+                while k < length and raw[i + k] == raw[j + k]:
+                    k += 1
+                shared.append(k)
+        found.append(max(shared))
+    return found
+
+
+def test_longest_previous_factors_of_texts():
+    draw = np.random.default_rng(4)
+    texts = [b"abcabcabcabdabcabd" * 3, b"a" * 60, bytes(range(120)), prose(3, 30).encode() * 2]
+    texts += [bytes(draw.integers(97, 97 + k, 150).tolist()) for k in (1, 2, 3, 20)]
+    texts += [b" ".join(b"%06d" % k for k in range(30))]
+    for raw in texts:
+        text = np.frombuffer(raw, np.uint8)
+        for length in (1, 3, 8, 9, 24, 30, 50):
+            at = np.arange(len(text) - length + 1)
+            ordered = [at, at[::-1].copy(), draw.permutation(len(at)), at // 2]
+            for order in ordered:
+                found = suffix_dedup.previous_factors(text, at, order, length)
+                assert found.tolist() == longest_before(raw, at.tolist(), order.tolist(), length)
+
+
+def test_ranks_follow_the_first_bytes():
     text = np.frombuffer(b"abcabcabcabdabcabd" * 3, np.uint8)
-    for length in (3, 5, 9, 12):
+    raw = text.tobytes()
+    for length in (3, 5, 9, 12, 40):
         at = np.arange(len(text) - length + 1)
-        found = suffix_dedup.has_earlier(text, at, at, length)
-        raw = text.tobytes()
-        assert found.tolist() == [raw.find(raw[i : i + length]) < i for i in at]
-        ranks = suffix_dedup.prefix_ranks(text, at, length)
+        ranks = suffix_dedup.Prefixes(text, length).of(at)
         order = sorted(at.tolist(), key=lambda i: raw[i : i + length])
         assert (np.diff(ranks[order].astype(np.int64)) >= 0).all()
 

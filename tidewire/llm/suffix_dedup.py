@@ -140,51 +140,119 @@ def _rank(values: np.ndarray) -> np.ndarray:
     return rank
 
 
-def prefix_ranks(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the suffixes at ``at`` by their first ``length`` bytes.
+@dataclass
+class Prefixes:
+    """Suffixes in the order of their first ``length`` bytes, which each of them has.
 
-    Prefix tripling: ranks by 8 bytes, then by 24 and 72 from the ranks of the
-    parts, then two or three parts that overlap make the whole length. Every
-    suffix has ``length`` bytes at least.
+    ``ranks`` of the whole text by 8 bytes, then 24 and 72 (prefix tripling from
+    the ranks of the parts); ``heads`` are the first bytes themselves.
     """
-    known = min(8, length)
-    packed_bytes = np.zeros(len(text) - known + 1, np.uint64)
-    for k in range(known):
-        packed_bytes = (packed_bytes << np.uint64(8)) | text[k : len(text) - known + 1 + k]
-    rank, bits = _rank(packed_bytes), max(1, len(text).bit_length())
-    ways = 3 if 3 * bits <= 64 else 2
-    while ways * known < length:
-        count = len(rank) - (ways - 1) * known
+
+    text: np.ndarray
+    length: int
+
+    def __post_init__(self) -> None:
+        known = self.head = min(8, self.length)
+        count = len(self.text) - known + 1
+        self.heads = np.zeros(count, np.uint64)
+        for k in range(known):
+            self.heads = (self.heads << np.uint64(8)) | self.text[k : count + k]
+        self.bits = max(1, len(self.text).bit_length())
+        self.ways = 3 if 3 * self.bits <= 64 else 2
+        self.ranks = [(known, _rank(self.heads))]
+        while self.ways * known < self.length:
+            rank = self.ranks[-1][1]
+            joined = self._joined(rank, known, len(rank) - (self.ways - 1) * known)
+            known *= self.ways
+            self.ranks.append((known, _rank(joined)))
+
+    def _joined(self, rank: np.ndarray, known: int, count: int) -> np.ndarray:
         joined = rank[:count]
-        for k in range(1, ways):
-            joined = (joined << np.uint64(bits)) | rank[k * known : k * known + count]
-        rank, known = _rank(joined), ways * known
-    if known == length:
-        return rank[at]
-    joined = rank[at]
-    middles = [known] if 2 * known < length else []
-    for step in [*middles, length - known]:
-        joined = (joined << np.uint64(bits)) | rank[at + step]
-    return joined
-
-
-def has_earlier(text: np.ndarray, at: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Whether the longest previous factor at each of ``at`` has ``length`` bytes or more.
-
-    Suffixes are sorted by their first ``length`` bytes, equal ones by
-    ``order``, their place in the table. In that order the previous and the
-    next smaller place with the longest common prefix give the longest previous
-    factor. It reaches ``length`` exactly if the suffix's run of equal prefixes
-    has a smaller place, which is then the run's first; behind it in the run
-    all places are larger.
+        for k in range(1, self.ways):
+            joined = (joined << np.uint64(self.bits)) | rank[k * known : k * known + count]
+        return joined
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """Rank of the suffixes at ``at``: two or three parts that overlap make the whole length."""
+        known, rank = self.ranks[-1]
+        joined = rank[at]
+        if known == self.length:
+            return joined
+        middles = [known] if 2 * known < self.length else []
+        for step in [*middles, self.length - known]:
+            joined = (joined << np.uint64(self.bits)) | rank[at + step]
+        return joined
+
+    def common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Longest common prefix of pairs of suffixes that differ within ``length`` bytes."""
+        found = np.zeros(len(left), np.int64)
+        todo = np.arange(len(left))
+        for known, rank in reversed(self.ranks):
+            ahead = todo
+            while len(ahead):
+                done = found[ahead]
+                fits = done + known <= self.length
+                ahead, done = ahead[fits], done[fits]
+                ahead = ahead[rank[left[ahead] + done] == rank[right[ahead] + done]]
+                found[ahead] += known
+        # The first byte that differs lies in the next few, or in the last ones of the length.
+        found = np.minimum(found, self.length - self.head)
+        mixed = self.heads[left + found] ^ self.heads[right + found]
+        for k in range(self.head - 1, 0, -1):
+            found += mixed < np.uint64(1) << np.uint64(8 * k)
+        return found
+
+
+def smaller_before(places: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The common prefix with the nearest entry before that has a smaller place; none: 0.
+
+    ``lcp[i]`` is that of entries i - 1 and i. All entries jump at once: what
+    lies between an entry and ``link[entry]`` is never smaller, so while the
+    linked place isn't smaller either, that one's own link is taken over. An
+    entry that has nothing in common any more stops.
     """
-    rank = prefix_ranks(text, at, length)
-    sorted_at = np.lexsort((order, rank))
-    own, places = rank[sorted_at], order[sorted_at]
-    new = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
-    least = places[np.flatnonzero(new)][np.cumsum(new) - 1]
-    found = np.empty(len(at), bool)
-    found[sorted_at] = places > least
+    link = np.arange(-1, len(places) - 1)
+    least = lcp.copy()
+    least[:1] = 0
+    moving = np.arange(1, len(places))
+    moving = moving[(least[moving] > 0) & (places[link[moving]] >= places[moving])]
+    while len(moving):
+        over = link[moving]
+        link[moving], least[moving] = link[over], np.minimum(least[moving], least[over])
+        moving = moving[least[moving] > 0]
+        moving = moving[places[link[moving]] >= places[moving]]
+    return least
+
+
+def previous_factors(
+    text: np.ndarray, at: np.ndarray, order: np.ndarray, length: int
+) -> np.ndarray:
+    """The longest previous factor at each of ``at``, counted up to ``length`` bytes.
+
+    The most bytes from there on that also start at one of ``at`` with a smaller
+    ``order``, which is the place in the table. In suffix order the previous and
+    the next smaller place share most with a suffix; the smaller of the common
+    prefixes on the way is theirs. Suffixes with equal first ``length`` bytes are
+    one entry at their smallest place: for the others that is an earlier one with
+    ``length`` bytes in common.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64)
+    prefixes = Prefixes(text, length)
+    rank = prefixes.of(at)
+    by = np.argsort(rank)
+    own = rank[by]
+    new = np.concatenate([[True], own[1:] != own[:-1]])
+    firsts = np.flatnonzero(new)
+    places = np.minimum.reduceat(order[by], firsts)
+    heads = at[by[firsts]]
+    lcp = np.concatenate([[0], prefixes.common(heads[:-1], heads[1:])])
+    factors = smaller_before(places, lcp)
+    turned = np.concatenate([[0], lcp[:0:-1]])
+    np.maximum(factors, smaller_before(places[::-1].copy(), turned)[::-1], out=factors)
+    entry = np.cumsum(new) - 1
+    found = np.empty(len(at), np.int64)
+    found[by] = np.where(order[by] > places[entry], length, factors[entry])
     return found
 
 
@@ -259,8 +327,8 @@ class LongestPreviousFactor:
             own_part = np.searchsorted(begins, starts, "right") - 1
             at = starts - begins[own_part] + (np.cumsum(lengths) - lengths)[own_part]
             text = data[stretches(begins, lengths)]
-            found = has_earlier(text, at, self._order(block, starts), self.length)
-            repeated[starts[found]] = True
+            factors = previous_factors(text, at, self._order(block, starts), self.length)
+            repeated[starts[factors >= self.length]] = True
         fresh = np.concatenate([[0], np.cumsum(~repeated)])
         left = fresh[own.lows + own.counts] > fresh[own.lows]
         return Survey(own.some(left), repeated)
@@ -322,9 +390,8 @@ class LongestPreviousFactor:
             part = text[stretches(begins[chosen], own_sizes)]
             at = stretches(np.cumsum(own_sizes) - own_sizes, own_counts)
             places = stretches(order[chosen], own_counts)
-            found[stretches(offsets[chosen], own_counts)] = has_earlier(
-                part, at, places, self.length
-            )
+            factors = previous_factors(part, at, places, self.length)
+            found[stretches(offsets[chosen], own_counts)] = factors >= self.length
         found = found[stretches(offsets[first], counts)] | np.repeat(repeated, counts)
         starts = stretches(lows, counts)[found]
         source = np.repeat(offered, counts)[found]
