@@ -24,10 +24,13 @@ FEW = 20
 #: Standard deviation that each feature is granted at least, in its own unit: about what one
 #: symbol or capital more in some 400 letters adds, or one equal line or word in some 100.
 FLOORS = (0.25, 0.1, 0.05, 0.1, 0.1, 0.05)
-#: Share of the rows in the minimum-covariance subset, C-steps, bins of log distance.
-SUBSET, STEPS, BINS = 0.75, 4, 64
-#: Rows a group needs for an estimate of its own; smaller ones are pooled.
-LEAST = 200
+#: Share of the rows in the minimum-covariance subset; bins of a factor 4 in distance.
+SUBSET, BINS = 0.75, 64
+#: A C-step counts if the logarithm of the determinant falls by more.
+GAIN = 0.01
+#: Rows that a language's estimate stands for in that of its sources, and that of all
+#: rows in a language's.
+PRIOR = 200
 #: A clean row exceeds the limit with this probability, were the features normal.
 RISK = 1e-5
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
@@ -86,7 +89,7 @@ def statistics(text: str) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, kind (language and source), the counts and the features, per row."""
+    """doc_id, text_hash, language, source, the counts and the features, per row."""
     names = [*COUNTS, *FEATURES]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,28 +118,14 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Add ``kind``: language and source, or a pool of the language's small sources, or of all."""
-    own = F.to_json(F.struct("lang", "source"))
-    language = F.to_json(F.struct("lang"))
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") < LEAST)
-    pools = small.groupBy(F.col("lang").alias("pool_lang")).agg(F.sum("n").alias("pool"))
-    named = stored(
-        sizes.join(pools, F.col("lang").eqNullSafe(F.col("pool_lang")), "left").select(
-            F.col("lang").alias("kind_lang"),
-            F.col("source").alias("kind_source"),
-            F.when(F.col("n") >= LEAST, own)
-            .when(F.col("pool") >= LEAST, F.concat(F.lit("small "), language))
-            .otherwise("small")
-            .alias("kind"),
-        ),
-        "kinds",
+def _levels(rows: DataFrame) -> DataFrame:
+    """Add the names of the groups a row belongs to: ``own`` (language and source), ``language``."""
+    return rows.withColumns(
+        {
+            "own": F.concat(F.lit("group "), F.to_json(F.struct("lang", "source"))),
+            "language": F.concat(F.lit("language "), F.to_json(F.struct("lang"))),
+        }
     )
-    same = F.col("lang").eqNullSafe(F.col("kind_lang")) & F.col("source").eqNullSafe(
-        F.col("kind_source")
-    )
-    return rows.join(named, same).drop("kind_lang", "kind_source")
 
 
 def _even_chi2(x: float, freedom: int) -> float:
@@ -153,43 +142,83 @@ def _chi2_point(share: float, freedom: int) -> float:
     return high
 
 
-def _model(kind: str, center: np.ndarray, spread: np.ndarray) -> pd.DataFrame:
-    """One row: kind, center, and the inverse of the spread with floors on its diagonal."""
-    inverse = np.linalg.inv(spread + np.diag((UNIT * np.array(FLOORS)) ** 2))
-    values = {f"c{i}": [c] for i, c in enumerate(center.tolist())}
-    values |= {f"p{i}{j}": [float(inverse[i, j])] for i, j in PAIRS}
-    return pd.DataFrame({"kind": [kind]} | values)
+#: Makes the covariance of the nearest SUBSET of normal rows that of all of them.
+CONSISTENT = SUBSET / _even_chi2(_chi2_point(SUBSET, len(FEATURES)), len(FEATURES) + 2)
+CENTERS = [f"c{i}" for i in range(len(FEATURES))]
+SPREADS, INVERSES = ([f"{x}{i}{j}" for i, j in PAIRS] for x in "vp")
+VALUES = ", ".join(f"{name} double" for name in CENTERS + SPREADS + INVERSES)
+MODEL = f"kind string, start int, moving boolean, n long, logdet double, {VALUES}"
+
+
+def _values(center: np.ndarray, spread: np.ndarray) -> tuple[float, dict[str, float]]:
+    """Log determinant and columns of a model; its inverse has floors on the diagonal."""
+    granted = spread + np.diag((UNIT * np.array(FLOORS)) ** 2)
+    inverse = np.linalg.inv(granted)
+    columns = dict(zip(CENTERS, center.tolist()))
+    columns |= {f"v{i}{j}": float(spread[i, j]) for i, j in PAIRS}
+    columns |= {f"p{i}{j}": float(inverse[i, j]) for i, j in PAIRS}
+    return float(np.linalg.slogdet(granted)[1]), columns
 
 
-MODEL = (
-    "kind string, "
-    + ", ".join(f"c{i} double" for i in range(len(FEATURES)))
-    + ", "
-    + ", ".join(f"p{i}{j} double" for i, j in PAIRS)
-)
+def _square(values: list[float]) -> np.ndarray:
+    found = np.zeros((len(FEATURES), len(FEATURES)))
+    for (i, j), value in zip(PAIRS, values):
+        found[i, j] = found[j, i] = value
+    return found
 
 
-def _start(table: pd.DataFrame) -> pd.DataFrame:
+def _sums() -> list[Column]:
+    """Rows, sums of the features and of their products: whole numbers, so any order gives the same.
+
+    A product is below 2^27 and the sum a long: past 6e10 rows of one bin the
+    job would fail, not round.
+    """
+    features = [F.col(name) for name in FEATURES]
+    return [
+        F.count("*").alias("n"),
+        *(F.sum(x).alias(f"s{i}") for i, x in enumerate(features)),
+        *(F.sum(features[i] * features[j]).alias(f"q{i}{j}") for i, j in PAIRS),
+    ]
+
+
+def _moments(sums: pd.DataFrame, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Center and covariance from the weighted sums of several rows of sums."""
+    n = float(weight @ sums["n"].to_numpy(float))
+    center = np.array([weight @ sums[f"s{i}"].to_numpy(float) for i in range(len(FEATURES))]) / n
+    second = _square([weight @ sums[f"q{i}{j}"].to_numpy(float) / n for i, j in PAIRS])
+    return center, second - np.outer(center, center)
+
+
+def _starts(table: pd.DataFrame) -> pd.DataFrame:
+    """Three models to start from: quartile ranges, the floors alone, the moments of all rows."""
     row = table.iloc[0]
     quartiles = np.array([row[name] for name in FEATURES], float)
     scale = (quartiles[:, 2] - quartiles[:, 0]) / 1.349
-    return _model(row["kind"], quartiles[:, 1], np.diag(scale**2))
-
-
-def _from_moments(table: pd.DataFrame) -> pd.DataFrame:
-    """The model of a group from the sums over its subset's bins."""
-    sums = table.drop(columns=["kind", "bin", "upto", "n_all"]).astype("float64").sum()
-    n, p = sums["n"], len(FEATURES)
-    center = np.array([sums[f"s{i}"] for i in range(p)]) / n
-    second = np.zeros((p, p))
-    for i, j in PAIRS:
-        second[i, j] = second[j, i] = sums[f"q{i}{j}"] / n
-    spread = second - np.outer(center, center)
-    share = n / table["n_all"].iloc[0]
-    point = _chi2_point(min(share, 1 - 1e-6), p)
-    return _model(
-        table["kind"].iloc[0], center, spread * min(share / _even_chi2(point, p + 2), 4.0)
-    )
+    middle = quartiles[:, 1]
+    starts = [
+        (middle, np.diag(scale**2)),
+        (middle, np.zeros((len(FEATURES), len(FEATURES)))),
+        _moments(table, np.ones(1)),
+    ]
+    head = {"kind": row["kind"], "moving": True, "n": row["n"], "logdet": np.inf}
+    return pd.DataFrame([head | {"start": k} | _values(*x)[1] for k, x in enumerate(starts)])
+
+
+def _step(sums: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """One C-step: the moments of the nearest SUBSET of the rows, if their determinant is smaller.
+
+    Of the bin that the subset ends in it takes the share it needs.
+    """
+    if sums.empty or model.empty:
+        return model
+    sums = sums.sort_values("bin")
+    n = sums["n"].to_numpy(float)
+    weight = np.clip((SUBSET * n.sum() - (np.cumsum(n) - n)) / n, 0, 1)
+    center, spread = _moments(sums, weight)
+    logdet, columns = _values(center, spread * CONSISTENT)
+    if not logdet < model["logdet"].iloc[0] - GAIN:
+        return model.assign(moving=False)
+    return model.assign(logdet=logdet, **columns)
 
 
 def distance() -> Column:
@@ -202,45 +231,63 @@ def distance() -> Column:
 
 
 def fitted(rows: DataFrame) -> DataFrame:
-    """A minimum-covariance-determinant model for every ``kind``.
+    """The minimum-covariance-determinant model of every ``kind``.
 
-    Starts from medians and quartile ranges. A C-step measures all rows, sums
+    Each of three starts takes C-steps until its determinant stands still, and
+    the start with the least one wins. A C-step measures all rows, sums
     features and their products per group and bin of log distance, and takes
     the bins from the nearest on until they hold SUBSET of the rows; mean and
-    covariance of those give the next model. Features are whole numbers, so the
-    sums don't depend on the order of rows. A group gives at most some thousand
-    sums per task, however many rows it has.
+    covariance of those give the next model. A group gives at most some
+    thousand sums per task, however many rows it has.
     """
-    quartiles = rows.groupBy("kind").agg(
+    first = rows.groupBy("kind").agg(
         *(F.percentile(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(name)
-          for name in FEATURES)
+          for name in FEATURES),
+        *_sums(),
     )
-    model = stored(quartiles.groupBy("kind").applyInPandas(_start, MODEL), "model")
-    exact = "decimal(38,0)"
-    for _ in range(STEPS):
-        bins = (
-            rows.join(model, "kind")
+    model = stored(first.groupBy("kind").applyInPandas(_starts, MODEL), "model")
+    # Ends: a model that moves on has lost GAIN, and the floors bound the determinant.
+    while not (moving := model.where("moving")).isEmpty():
+        sums = (
+            rows.join(moving.select("kind", "start", *CENTERS, *INVERSES), "kind")
             .withColumn("bin", F.floor(F.log2(distance() + 2.0**-10) * BINS / 2))
-            .groupBy("kind", "bin")
-            .agg(
-                F.count("*").alias("n"),
-                *(F.sum(F.col(x).cast(exact)).alias(f"s{i}") for i, x in enumerate(FEATURES)),
-                *(
-                    F.sum((F.col(FEATURES[i]) * F.col(FEATURES[j])).cast(exact)).alias(f"q{i}{j}")
-                    for i, j in PAIRS
-                ),
-            )
+            .groupBy("kind", "start", "bin")
+            .agg(*_sums())
         )
-        bins = stored(bins.select("kind", "bin", "n", *(
-            F.col(c).cast("double").alias(c) for c in bins.columns if c[0] in "sq"
-        )), "bins")
-        upto = F.expr("sum(n) OVER (PARTITION BY kind ORDER BY bin) - n")
-        n_all = F.expr("sum(n) OVER (PARTITION BY kind)")
-        subset = bins.select("*", upto.alias("upto"), n_all.alias("n_all")).where(
-            F.col("upto") < SUBSET * F.col("n_all")
-        )
-        model = stored(subset.groupBy("kind").applyInPandas(_from_moments, MODEL), "model")
-    return model
+        last = model.toDF(*model.columns)
+        steps = sums.groupBy("kind", "start").cogroup(last.groupBy("kind", "start"))
+        model = stored(steps.applyInPandas(_step, MODEL), "model")
+    best = F.min_by(F.struct(*model.columns), F.struct("logdet", "start"))
+    return model.groupBy("kind").agg(best.alias("best")).select("best.*")
+
+
+def models(rows: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """A model for each ``own`` group of ``rows``, from its rows, its language's and all.
+
+    A group of n rows has its own estimate with the weight n / (n + ``prior``)
+    and its language's with the rest; a language shares with all rows in the
+    same way. What is mixed are the moments, so the distance between two
+    centers adds to the covariance. One formula for every size: large groups
+    are practically their own, a single row is nearly its language.
+    """
+    kinds = F.array(F.lit("all"), "language", "own")
+    fits = stored(fitted(rows.select(*FEATURES, F.explode(kinds).alias("kind"))), "fits")
+    members = rows.select("own", "language").distinct()
+    members = members.select("own", F.posexplode(kinds).alias("level", "kind"))
+
+    def mixed(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("level")
+        center, second = np.zeros(len(FEATURES)), np.zeros((len(FEATURES), len(FEATURES)))
+        for k, row in enumerate(table.to_dict("records")):
+            share = row["n"] / (row["n"] + prior) if k else 1.0
+            own = np.array([row[name] for name in CENTERS])
+            spread = _square([row[name] for name in SPREADS])
+            center = share * own + (1 - share) * center
+            second = share * (spread + np.outer(own, own)) + (1 - share) * second
+        columns = _values(center, second - np.outer(center, center))[1]
+        return pd.DataFrame([{"own": table["own"].iloc[0]} | columns])
+
+    return members.join(fits, "kind").groupBy("own").applyInPandas(mixed, f"own string, {VALUES}")
 
 
 def quality(docs: DataFrame, risk: float = RISK) -> DataFrame:
@@ -251,16 +298,15 @@ def quality(docs: DataFrame, risk: float = RISK) -> DataFrame:
     equal lines, repeated windows, capitals) lie too far from the bulk of its
     language and source: squared Mahalanobis distance above the chi-squared
     point of ``risk``, under the group's minimum-covariance-determinant
-    estimates, from all rows that pass the base rules. Groups below LEAST rows
-    are pooled per language, then over all.
+    estimates (``models``), from all rows that pass the base rules.
 
     Null text: no words, so it fails. Null language or source: groups of their
     own. Repeated rows count each. No rows: no rows.
     """
     rows = stored(measured(docs), "statistics")
-    good = stored(_grouped(rows.where("NOT base_failed")), "grouped")
+    good = _levels(rows.where("NOT base_failed"))
     limit = _chi2_point(1 - risk, len(FEATURES))
-    judged = good.join(fitted(good), "kind").withColumn("distance", distance())
+    judged = good.join(stored(models(good), "models"), "own").withColumn("distance", distance())
     verdicts = judged.select(*rows.columns, "distance", (F.col("distance") <= limit).alias("kept"))
     failed = rows.where("base_failed").select(
         *rows.columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")
