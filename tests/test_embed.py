@@ -2,7 +2,15 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewire.functions.vectors import bucket_counts, cosine, word_buckets
-from tidewire.operators.embed import embed_dense, embed_sparse, hashed_bag_model
+from tidewire.operators.embed import (
+    budget_calls,
+    embed_dense,
+    embed_sparse,
+    hashed_bag_model,
+    in_budget,
+    padding_share,
+    word_counts,
+)
 
 TEXTS = ["the cat sat on the mat", "cat", "a  b\tc a", "", "  ", "x " * 500 + "y"]
 
@@ -63,3 +71,44 @@ def test_cosine_expression(spark):
     )
     got = [r.c for r in rows.select(cosine(F.col("a"), F.col("b")).alias("c")).collect()]
     assert abs(got[0] - 0.5**0.5) < 1e-9 and got[1] is None
+
+
+def test_calls_keep_to_the_budget_and_cover_all():
+    draw = np.random.default_rng(3)
+    for budget in (1, 50, 400, 10**6):
+        lengths = draw.integers(1, 300, 500)
+        calls = budget_calls(lengths, budget)
+        assert sorted(np.concatenate(calls).tolist()) == list(range(500))
+        for call in calls:
+            assert len(call) == 1 or len(call) * lengths[call].max() <= budget
+    assert budget_calls(np.zeros(0, np.int64), 10) == []
+    assert budget_calls(np.array([5]), 1)[0].tolist() == [0]
+
+
+def test_ordered_calls_pad_little():
+    lengths = np.random.default_rng(4).integers(1, 300, 4096)
+    in_order = [np.arange(k, min(k + 32, 4096)) for k in range(0, 4096, 32)]
+    assert padding_share(lengths, in_order) > 0.4
+    assert padding_share(lengths, budget_calls(lengths, 8_192)) < 0.03
+    assert padding_share(lengths[:0], []) == 0.0
+
+
+def test_vectors_come_back_in_order_from_calls_in_budget(spark):
+    seen = []
+
+    def model():
+        inner = hashed_bag_model()()
+
+        def predict(texts):
+            seen.append(word_counts(texts))
+            return inner(texts)
+
+        return predict
+
+    texts_ = np.array([t for t in TEXTS if t.strip()] * 40 + ["a b c d e"] * 7, object)
+    predict = in_budget(model, budget=30)()
+    np.testing.assert_array_equal(predict(texts_), hashed_bag_model()()(texts_))
+    assert all(len(n) == 1 or len(n) * n.max() <= 30 for n in seen) and len(seen) > 10
+    whole = {r.i: list(r.embedding) for r in embed_dense(texts(spark)).collect()}
+    rows = embed_dense(texts(spark), model=in_budget(budget=5), batch_size=3).collect()
+    assert {r.i: list(r.embedding) for r in rows} == whole

@@ -49,6 +49,62 @@ def hashed_bag_model(dimensions: int = DIMENSIONS) -> Callable[[], Predict]:
     return load
 
 
+def budget_calls(lengths: np.ndarray, budget: int) -> list[np.ndarray]:
+    """Indexes of the texts of each call, shortest texts first.
+
+    A call holds as many as fit in ``budget`` tokens once all are padded to its
+    longest; a text longer than that is a call of its own.
+    """
+    order = np.argsort(lengths, kind="stable")
+    calls, begin = [], 0
+    for at, length in enumerate(lengths[order].tolist()):
+        if at > begin and (at + 1 - begin) * length > budget:
+            calls.append(order[begin:at])
+            begin = at
+    return [*calls, order[begin:]] if len(order) else calls
+
+
+def padding_share(lengths: np.ndarray, calls: list[np.ndarray]) -> float:
+    """Share of padding among all that the model is given."""
+    given = sum(len(call) * int(lengths[call].max()) for call in calls)
+    return 1 - float(lengths.sum()) / given if given else 0.0
+
+
+def word_counts(texts: np.ndarray) -> np.ndarray:
+    """Tokens of each text, if the model's tokens are words; at least 1."""
+    return np.fromiter((max(1, len(text.split())) for text in texts), np.int64, len(texts))
+
+
+def in_budget(
+    model: Callable[[], Predict] | None = None,
+    budget: int = 8_192,
+    tokens: Callable[[np.ndarray], np.ndarray] = word_counts,
+) -> Callable[[], Predict]:
+    """A model called with texts of like length, at most ``budget`` padded tokens at once.
+
+    A model pads the texts of a call to the longest, so mixed lengths waste
+    its time and a few long texts its memory. ``tokens`` counts the tokens of
+    each text. The vectors come back in the order of the texts. Texts are
+    ordered within a batch of ``embed_dense``: give it a large ``batch_size``.
+    """
+
+    def load() -> Predict:
+        predict = (model or hashed_bag_model())()
+
+        def within(texts: np.ndarray) -> np.ndarray:
+            calls = budget_calls(tokens(texts), budget)
+            if not calls:
+                return predict(texts)
+            found = np.concatenate([predict(texts[call]) for call in calls])
+            vectors = np.empty_like(found)
+            vectors[np.concatenate(calls)] = found
+            return vectors
+
+        return within
+
+    return load
+
+
 def not_blank(rows: DataFrame, text: str = "text") -> DataFrame:
     """Drop rows without text, before any model sees them."""
     return rows.where(F.length(strip_space(F.col(text))) > 0)

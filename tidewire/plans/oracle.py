@@ -458,3 +458,11 @@ FROM windows JOIN good USING (doc_id)
 
 # Searching by cells is a way to the same result.
 ORACLES["knn_lsh"] = ORACLES["knn_topk"]
+# So is polling, keeping the newest batch by batch, and calling the model with other batches.
+ORACLES["stream_polled"] = ORACLES["stream_ingest"]
+ORACLES["stream_latest_per_feed"] = ORACLES["latest_per_feed"]
+ORACLES["embed_budget"] = ORACLES["embed_dense"]
+ORACLES["stream_dedup"] = f"WITH {FEEDS} SELECT DISTINCT url FROM articles"
+ORACLES["stream_totals"] = f"""
+SELECT feed, fetched, rejected, TRUE AS unique_is_close FROM ({ORACLES["ingest_counts"]})
+"""

@@ -16,6 +16,7 @@ from tidewire.operators.counts import ingest_counts as count_ingest
 from tidewire.operators.dedup import first_wins
 from tidewire.operators.embed import embed_dense as dense
 from tidewire.operators.embed import embed_sparse as sparse
+from tidewire.operators.embed import in_budget
 from tidewire.operators.inverted import search_index, write_index
 from tidewire.operators.knn_join import nearest_by_pivots
 from tidewire.operators.select import latest_per_feed as latest
@@ -40,8 +41,10 @@ from tidewire.sources.feeds import (
     parse_records,
     read_landing,
 )
+from tidewire.sources.polled import LineLog, stream_feeds
 from tidewire.sources.store import VectorStore
 from tidewire.streaming.ingest import Ingest, ingest_stream, stream_landing, with_arrival
+from tidewire.streaming.state import IngestTotals, LatestPerFeed, first_within
 
 TOPIC = "the that"
 # Articles up to this time count as stored already, later ones as incoming.
@@ -235,18 +238,27 @@ def _windows(spark: SparkSession, folder: str) -> DataFrame:
 # --- embedding
 
 
-def embed_dense(spark: SparkSession, folder: str) -> DataFrame:
+def _weights(embedded: DataFrame) -> DataFrame:
     """Non-zero weights of the model's vectors, one row each."""
     entries = F.filter(
         F.transform("embedding", lambda x, at: F.struct(at.alias("bucket"), x.alias("weight"))),
         lambda entry: entry["weight"] != 0,
     )
-    vectors = dense(_windows(spark, folder)).select("doc_id", "pos", F.explode(entries).alias("e"))
+    vectors = embedded.select("doc_id", "pos", F.explode(entries).alias("e"))
     return vectors.select("doc_id", "pos", "e.*").select(
         "doc_id", "pos", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight")
     )
 
 
+def embed_dense(spark: SparkSession, folder: str) -> DataFrame:
+    return _weights(dense(_windows(spark, folder)))
+
+
+def embed_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """The same vectors from calls of texts of like length, 8,192 padded tokens at most."""
+    return _weights(dense(_windows(spark, folder), model=in_budget(), batch_size=4_096))
+
+
 def embed_sparse(spark: SparkSession, folder: str) -> DataFrame:
     weights = sparse(_windows(spark, folder), "doc_id", "pos")
     return weights.withColumn("weight", F.round("weight", 6))
@@ -490,24 +502,94 @@ def ingest_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_ingest(checked.select("feed", "reason", url.alias("url")))
 
 
+def _stored_chunks(store: VectorStore) -> DataFrame:
+    return store.current().select(
+        "doc_id", "chunk_id", F.length("text").alias("n_chars"), "metadata.*"
+    )
+
+
+def _land(spark: SparkSession, folder: str, deliveries: int = 2) -> str:
+    """Both feeds as files, delivered several times."""
+    landing = shared_folder(spark, "landing")
+    lines = landed_lines(spark, folder, damage=False)
+    for _ in range(deliveries):
+        out = lines.select("feed", "value").write.mode("append").partitionBy("feed")
+        out.text(landing)
+    return landing
+
+
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Land both feeds as files, twice, stream them in, and read the store.
 
     The second landing repeats every record, so each article must be stored
     once only.
     """
-    landing = shared_folder(spark, "landing")
+    landing = _land(spark, folder)
     store = VectorStore(spark, shared_folder(spark, "store"), dimensions=384)
-    lines = landed_lines(spark, folder, damage=False)
-    for _ in range(2):
-        out = lines.select("feed", "value").write.mode("append").partitionBy("feed")
-        out.text(landing)
     job = Ingest(store, AS_OF)
     stream = stream_landing(spark, landing, max_files=16)
     checkpoint = shared_folder(spark, "offsets")
     ingest_stream(stream, job, checkpoint, until_caught_up=True).start().awaitTermination()
-    return store.current().select(
-        "doc_id", "chunk_id", F.length("text").alias("n_chars"), "metadata.*"
+    return _stored_chunks(store)
+
+
+def stream_polled(spark: SparkSession, folder: str) -> DataFrame:
+    """Poll both feeds from their positions, restart, poll what came since; read the store."""
+    landing = shared_folder(spark, "feeds")
+    store = VectorStore(spark, shared_folder(spark, "store"), dimensions=384)
+    job, checkpoint = Ingest(store, AS_OF), shared_folder(spark, "offsets")
+    lines = landed_lines(spark, folder, damage=False)
+    feeds = {feed.name: LineLog(f"{landing}/feed={feed.name}") for feed in (FEED_A_SPEC, FEED_B_SPEC)}
+    for delivery in range(2):
+        out = lines.select("feed", F.lit(delivery).alias("delivery"), "value").write.mode("append")
+        out.partitionBy("feed", "delivery").text(landing)
+        polled = stream_feeds(spark, feeds)
+        ingest_stream(polled, job, checkpoint, until_caught_up=True).start().awaitTermination()
+    return _stored_chunks(store)
+
+
+def stream_latest_per_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest events of each type, kept up to date batch by batch."""
+    events = table(spark, folder, "events").select("event_type", "ts", "event_id")
+    landing = shared_folder(spark, "events")
+    events.repartition(8).write.parquet(landing)
+    newest = LatestPerFeed(
+        spark, shared_folder(spark, "newest"), 10, feed="event_type", stamp="ts", key="event_id"
+    )
+    landed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(landing)
+    writer = newest.start(landed, shared_folder(spark, "offsets")).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return newest.current().select("event_type", "rank", "event_id")
+
+
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The URLs of articles delivered twice, each passed on once."""
+    landed = stream_landing(spark, _land(spark, folder), max_files=16)
+    checked = landed_articles(landed, AS_OF, keep=("_file_time",))
+    articles = checked.where(F.col("reason").isNull()).select("url", "_file_time")
+    once = first_within(articles, "url", "_file_time").select("url")
+    found = shared_folder(spark, "once")
+    writer = once.writeStream.option("checkpointLocation", shared_folder(spark, "offsets"))
+    writer = writer.format("parquet").option("path", found).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return spark.read.schema("url string").parquet(found)
+
+
+def stream_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts over a stream's life; the distinct URLs within three standard errors of the exact."""
+    landed = stream_landing(spark, _land(spark, folder), max_files=8)
+    checked = landed_articles(landed, AS_OF).select("feed", "reason", "url")
+    totals = IngestTotals(spark, shared_folder(spark, "totals"))
+    writer = checked.writeStream.foreachBatch(totals.add).trigger(availableNow=True)
+    writer = writer.option("checkpointLocation", shared_folder(spark, "offsets"))
+    writer.start().awaitTermination()
+    exact = ingest_counts(spark, folder).select("feed", F.col("unique_urls").alias("exact"))
+    far = F.abs(F.col("unique_urls") - F.col("exact"))
+    return totals.totals().join(exact, "feed").select(
+        "feed",
+        "fetched",
+        "rejected",
+        (far <= 3 * totals.error * F.col("exact")).alias("unique_is_close"),
     )
 
 
@@ -528,6 +610,7 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_tokens": chunk_tokens,
     "chunk_subwords": chunk_subwords,
     "embed_dense": embed_dense,
+    "embed_budget": embed_budget,
     "embed_sparse": embed_sparse,
     "dedup_first": dedup_first,
     "new_only": new_only,
@@ -546,4 +629,8 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_codes_recall": knn_codes_recall,
     "ingest_counts": ingest_counts,
     "stream_ingest": stream_ingest,
+    "stream_polled": stream_polled,
+    "stream_latest_per_feed": stream_latest_per_feed,
+    "stream_dedup": stream_dedup,
+    "stream_totals": stream_totals,
 }

@@ -17,6 +17,7 @@ from tidewire.operators.dedup import first_wins
 from tidewire.operators.embed import Predict, embed_dense
 from tidewire.sources.feeds import FEEDS, feed_rank, landed_articles, rejected, valid
 from tidewire.sources.store import MAIN, VectorStore
+from tidewire.streaming.state import IngestTotals
 
 # Fixed value: seconds between two looks at the landing folder.
 POLL_SECONDS = 5
@@ -45,7 +46,8 @@ class Ingest:
     (recency, topic, batch size) before anything is compared or embedded.
     The new articles of a batch are spread over ``embed_tasks`` tasks for
     chunking and the model: one per core if unset, as they come if 0.
-    ``tokens`` plugs the model's tokenizer into the chunk windows.
+    ``tokens`` plugs the model's tokenizer into the chunk windows. ``totals``
+    counts over the stream's life what ``counted`` tells of a batch.
     """
 
     store: VectorStore
@@ -57,6 +59,7 @@ class Ingest:
     max_tokens: int = MAX_TOKENS
     embed_tasks: int | None = None
     tokens: Tokens = Tokens()
+    totals: IngestTotals | None = None
 
     def points(self, articles: DataFrame) -> DataFrame:
         """Articles to embedded chunks."""
@@ -104,6 +107,8 @@ class Ingest:
             found = counts.get | unique.get | fresh.get
             found["skipped"] = found["unique"] - found["new"]
             self.counted(writer, batch_id, found)
+            if self.totals is not None:
+                self.totals.add(numbered, batch_id, writer)
         finally:
             numbered.unpersist()
 
