@@ -167,7 +167,11 @@ def test_longest_previous_factors_of_texts():
             ordered = [at, at[::-1].copy(), draw.permutation(len(at)), at // 2]
             for order in ordered:
                 found = suffix_dedup.previous_factors(text, at, order, length)
-                assert found.tolist() == longest_before(raw, at.tolist(), order.tolist(), length)
+                expected = longest_before(raw, at.tolist(), order.tolist(), length)
+                assert found.tolist() == expected
+                shortest = min(24, length)
+                found = suffix_dedup.previous_factors(text, at, order, length, shortest)
+                assert found.tolist() == [n if n >= shortest else 0 for n in expected]
 
 
 def test_ranks_follow_the_first_bytes():

@@ -27,6 +27,8 @@ from tidewire.llm.repeats import (
 
 #: Bytes hashed for an anchor. Each window of ``length`` bytes holds length - ANCHOR + 1 of them.
 ANCHOR = 50
+#: Bytes that two suffixes need in common to count as one's previous factor.
+SHORTEST = 24
 #: Bytes of text hashed at once, and positions of one suffix array.
 PART, SUFFIXES = 1 << 19, 2_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -183,8 +185,23 @@ class Prefixes:
             joined = (joined << np.uint64(self.bits)) | rank[at + step]
         return joined
 
-    def common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Longest common prefix of pairs of suffixes that differ within ``length`` bytes."""
+    def common(self, left: np.ndarray, right: np.ndarray, shortest: int = 1) -> np.ndarray:
+        """Longest common prefix of pairs of suffixes that differ within ``length`` bytes.
+
+        One below ``shortest`` is 0; a comparison of ranks tells most of those.
+        """
+        found = np.zeros(len(left), np.int64)
+        for known, rank in self.ranks[::-1]:
+            if known <= shortest:
+                near = np.flatnonzero(rank[left] == rank[right])
+                found[near] = self._common(left[near], right[near])
+                break
+        else:
+            found = self._common(left, right)
+        found[found < shortest] = 0
+        return found
+
+    def _common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         found = np.zeros(len(left), np.int64)
         todo = np.arange(len(left))
         for known, rank in reversed(self.ranks):
@@ -225,16 +242,16 @@ def smaller_before(places: np.ndarray, lcp: np.ndarray) -> np.ndarray:
 
 
 def previous_factors(
-    text: np.ndarray, at: np.ndarray, order: np.ndarray, length: int
+    text: np.ndarray, at: np.ndarray, order: np.ndarray, length: int, shortest: int = 1
 ) -> np.ndarray:
-    """The longest previous factor at each of ``at``, counted up to ``length`` bytes.
+    """The longest previous factor at each of ``at``, from ``shortest`` up to ``length`` bytes.
 
     The most bytes from there on that also start at one of ``at`` with a smaller
     ``order``, which is the place in the table. In suffix order the previous and
     the next smaller place share most with a suffix; the smaller of the common
     prefixes on the way is theirs. Suffixes with equal first ``length`` bytes are
     one entry at their smallest place: for the others that is an earlier one with
-    ``length`` bytes in common.
+    ``length`` bytes in common. A factor below ``shortest`` bytes is 0.
     """
     if not len(at):
         return np.zeros(0, np.int64)
@@ -246,7 +263,7 @@ def previous_factors(
     firsts = np.flatnonzero(new)
     places = np.minimum.reduceat(order[by], firsts)
     heads = at[by[firsts]]
-    lcp = np.concatenate([[0], prefixes.common(heads[:-1], heads[1:])])
+    lcp = np.concatenate([[0], prefixes.common(heads[:-1], heads[1:], shortest)])
     factors = smaller_before(places, lcp)
     turned = np.concatenate([[0], lcp[:0:-1]])
     np.maximum(factors, smaller_before(places[::-1].copy(), turned)[::-1], out=factors)
@@ -302,6 +319,9 @@ class LongestPreviousFactor:
         document = np.searchsorted(block.bounds, starts, "right") - 1
         return (block.rank[document] << 32) + starts - block.bounds[document]
 
+    def _factors(self, text: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
+        return previous_factors(text, at, order, self.length, min(SHORTEST, self.length))
+
     def _windows(self, block: Block, chosen: np.ndarray) -> np.ndarray:
         """The starts of all windows of the chosen documents."""
         sizes = np.maximum(np.diff(block.bounds) - self.length + 1, 0)
@@ -327,7 +347,7 @@ class LongestPreviousFactor:
             own_part = np.searchsorted(begins, starts, "right") - 1
             at = starts - begins[own_part] + (np.cumsum(lengths) - lengths)[own_part]
             text = data[stretches(begins, lengths)]
-            factors = previous_factors(text, at, self._order(block, starts), self.length)
+            factors = self._factors(text, at, self._order(block, starts))
             repeated[starts[factors >= self.length]] = True
         fresh = np.concatenate([[0], np.cumsum(~repeated)])
         left = fresh[own.lows + own.counts] > fresh[own.lows]
@@ -390,7 +410,7 @@ class LongestPreviousFactor:
             part = text[stretches(begins[chosen], own_sizes)]
             at = stretches(np.cumsum(own_sizes) - own_sizes, own_counts)
             places = stretches(order[chosen], own_counts)
-            factors = previous_factors(part, at, places, self.length)
+            factors = self._factors(part, at, places)
             found[stretches(offsets[chosen], own_counts)] = factors >= self.length
         found = found[stretches(offsets[first], counts)] | np.repeat(repeated, counts)
         starts = stretches(lows, counts)[found]
