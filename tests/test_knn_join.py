@@ -124,3 +124,39 @@ def test_no_broadcast_grows_with_the_questions(spark, monkeypatch, plan_of):
         broadcast = [t for t in text if "BroadcastExchange" in t.split("\n")[0]]
         assert broadcast and all("_pieces" in t or "_at" in t or "_least" in t for t in broadcast)
         assert not any("_asked" in t or "[v#" in t for t in broadcast)
+
+
+def test_both_sides_meet_in_any_number_of_partitions(spark):
+    """Rows and questions of a group are dealt to the same task, also if none are joined."""
+    rng = np.random.default_rng(10)
+    matrix, asked = rng.standard_normal((700, 6)), rng.standard_normal((40, 6))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hits, _ = joined(spark, matrix, asked, 5, 6)
+        assert ranked(hits) == by_hand(matrix, asked, 5)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_question_is_sent_once_to_a_group_of_blocks(spark, monkeypatch):
+    """Random vectors, whose bounds rule nothing out: copies grow with the rows, not with the blocks."""
+    sent, back, ask, meet = [], [], K._asked, K._meet
+
+    def asked_for(*args):
+        found = ask(*args)
+        sent.append(found.count())
+        return found
+
+    def met_for(*args):
+        met, pairs = meet(*args)
+        back.append(met.count())
+        return met, pairs
+
+    monkeypatch.setattr(K, "_asked", asked_for)
+    monkeypatch.setattr(K, "_meet", met_for)
+    monkeypatch.setattr(K, "GROUP_ROWS", 200)
+    rng = np.random.default_rng(11)
+    matrix, asked = rng.standard_normal((600, 24)), rng.standard_normal((30, 24))
+    hits, share = joined(spark, matrix, asked, 5, 20)  # up to 160 blocks
+    assert ranked(hits) == by_hand(matrix, asked, 5) and share > 0.9
+    assert sent[1] <= 30 * 6 and back[1] <= 30 * 6 * 5  # at most six groups

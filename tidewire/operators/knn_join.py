@@ -7,7 +7,9 @@ that is ``a`` away from its pivot while the block's rows are ``b`` away from it
 between two pivots that the question is beyond. Phase one sends a question to
 the blocks nearest by these bounds until they hold k rows; that settles the
 score others would have to beat. Phase two sends it to all blocks whose bound
-allows such a score. So the result is exact. Neither the rows nor the questions
+allows such a score. So the result is exact. Neighbouring blocks make a group; a
+question goes to a group once, with a bit for each block of it that it reads, and
+gets k rows of a group back, however many of its blocks were read. Neither the rows nor the questions
 are collected or broadcast: only pivots and one line per block are, and both
 have a fixed largest number.
 """
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +35,9 @@ from tidewire.operators.search import (
     Block,
     Ranking,
     Vectors,
-    _best,
+    _Kept,
     _norms,
-    _scores,
+    _units,
 )
 from tidewire.plans.session import shared_folder
 
@@ -47,6 +49,8 @@ SAMPLE_ROWS = 8192
 BANDS = 8
 # Rows and questions that meet in one group, at most about.
 GROUP_ROWS, GROUP_QUESTIONS = 8192, 2048
+# Questions for a group that a task hands over at a time.
+SENT_ROWS = 8192
 # Angles come from rounded cosines; near 1 a cosine of 53 bits fixes them to some 1e-8.
 ANGLE_SLACK = 1e-7
 
@@ -107,6 +111,16 @@ class Blocks:
         np.put_along_axis(mask, order, taken, axis=1)
         return mask
 
+    def groups(self) -> np.ndarray:
+        """The first block of each group, and the number of blocks: GROUP_ROWS rows together, or one block."""
+        starts, held = [], 0
+        for at, rows in enumerate(self.rows.tolist()):
+            if not starts or held + rows > GROUP_ROWS:
+                starts.append(at)
+                held = 0
+            held += rows
+        return np.array([*starts, len(self.rows)])
+
 
 def _stored(rows: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(rows.sparkSession, purpose)
@@ -172,9 +186,18 @@ def _in_blocks(rows: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, Blocks]:
 def _asked(
     questions: DataFrame, vectors: Vectors, blocks: Blocks, k: int, score: str | None
 ) -> DataFrame:
-    """(question columns, ``_at``): the blocks of phase one, or of phase two with column ``score``."""
+    """The groups of blocks a question is sent to in phase one, or in phase two with column ``score``.
+
+    Question columns, ``_group``, ``_wanted`` (bits of the group's blocks), ``_pairs`` (their rows).
+    """
     kept = [c for c in questions.columns if c != score]
-    schema = T.StructType([*(questions.schema[c] for c in kept), T.StructField("_at", T.IntegerType())])
+    sent = [
+        T.StructField("_group", T.IntegerType()),
+        T.StructField("_wanted", T.BinaryType()),
+        T.StructField("_pairs", T.LongType()),
+    ]
+    schema = T.StructType([*(questions.schema[c] for c in kept), *sent])
+    starts = blocks.groups()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, SCORE_CELLS // max(1, len(blocks.cell)))
@@ -186,52 +209,63 @@ def _asked(
                 if score is not None:
                     reached = part[score].fill_null(-np.inf).to_numpy(zero_copy_only=False)
                     mask = ~mask & (np.cos(bounds) >= reached[:, None] - BOUND_SLACK)
-                at, block = np.nonzero(mask)
-                columns = [*part.select(kept).take(pa.array(at)).columns, pa.array(block.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                asking = part.select(kept)
+                for group, (first, end) in enumerate(zip(starts[:-1], starts[1:])):
+                    at = np.flatnonzero(mask[:, first:end].any(axis=1))
+                    for some in (at[i : i + SENT_ROWS] for i in range(0, len(at), SENT_ROWS)):
+                        wanted = mask[some, first:end]
+                        columns = [
+                            pa.array(np.full(len(some), group, np.int32)),
+                            pa.array([bits.tobytes() for bits in np.packbits(wanted, axis=1)], pa.binary()),
+                            pa.array(wanted @ blocks.rows[first:end]),
+                        ]
+                        columns = [*asking.take(pa.array(some)).columns, *columns]
+                        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return questions.mapInArrow(choose, schema)
 
 
-def _dealt(at: Column, pieces: np.ndarray, name: str) -> Column:
-    """How many pieces the block ``_at`` is cut in, as a lookup in a literal array."""
-    return F.element_at(F.lit(pieces.tolist()), at + 1).alias(name)
-
-
 def _meet(
     rows: DataFrame, asked: DataFrame, vectors: Vectors, blocks: Blocks, ranking: Ranking, id_name: str
 ) -> tuple[DataFrame, int]:
-    """The k best of each block for each question sent to it, and the number of pairs scored.
+    """The k best of each group for each question sent to it, and the number of pairs scored.
 
-    Blocks of many rows are cut by a hash, and so are the questions of a block
-    that many ask; each piece of one meets each piece of the other.
+    A group of one large block is cut by a hash of its rows, and the questions of
+    a group that many ask by a hash of theirs; each piece of one meets each piece
+    of the other.
     """
-    spark = rows.sparkSession
-    asking = np.zeros(len(blocks.cell), np.int64)
-    for row in asked.groupBy("_at").count().collect():  # one row per block
-        asking[row["_at"]] = row["count"]
-    pairs = int((asking * blocks.rows).sum())
-    pieces = -(-blocks.rows // GROUP_ROWS)
+    spark, starts = rows.sparkSession, blocks.groups()
+    asking, pairs = np.zeros(len(starts) - 1, np.int64), 0
+    counted = asked.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), F.sum("_pairs").alias("pairs"))
+    for row in counted.collect():  # one row per group
+        asking[row["_group"]] = row["n"]
+        pairs += row["pairs"]
+    pieces = -(-np.add.reduceat(blocks.rows, starts[:-1]) // GROUP_ROWS)
     parts = np.maximum(1, -(-asking // GROUP_QUESTIONS))
+    known = [(g, int(p), int(q)) for g, (p, q) in enumerate(zip(pieces, parts)) if asking[g]]
+    of_group = spark.createDataFrame(known, "_group int, _pieces int, _parts int")
     cuts = spark.createDataFrame(
-        [(i, int(p), int(q)) for i, (p, q) in enumerate(zip(pieces, parts)) if asking[i]],
-        "_at int, _pieces int, _parts int",
+        [(at, *of) for of in known for at in range(starts[of[0]], starts[of[0] + 1])],
+        "_at int, _group int, _pieces int, _parts int",
     )
     carried = [c for c in rows.columns if c not in (vectors.column, "_at")]
+    # Both sides' keys are ints: an int and a bigint of one value have other hashes and wouldn't meet.
     left = rows.join(F.broadcast(cuts), "_at").select(
         *carried,
         vectors.column,
         "_at",
-        F.pmod(F.xxhash64(*carried), F.col("_pieces")).alias("_piece"),
+        "_group",
+        F.pmod(F.xxhash64(*carried), F.col("_pieces")).cast("int").alias("_piece"),
         F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
     )
-    right = asked.join(F.broadcast(cuts), "_at").select(
+    right = asked.join(F.broadcast(of_group), "_group").select(
         "_no",
         id_name,
         F.col(vectors.column).alias("_vector"),
-        "_at",
+        "_wanted",
+        "_group",
         F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)).alias("_piece"),
-        F.pmod(F.xxhash64("_no"), F.col("_parts")).alias("_part"),
+        F.pmod(F.xxhash64("_no"), F.col("_parts")).cast("int").alias("_part"),
     )
     schema = T.StructType(
         [
@@ -244,30 +278,27 @@ def _meet(
     asked_vectors = Vectors("_vector", vectors.dimensions)
 
     def score(here: pa.Table, there: pa.Table) -> pa.Table:
-        best = None
-        block = Block(there["_no"].combine_chunks(), asked_vectors.matrix(there["_vector"].combine_chunks()))
-        step = max(1, SCORE_CELLS // max(1, len(block.ids)))
-        for begin in range(0, here.num_rows if len(block.ids) else 0, step):
-            part = here.slice(begin, step)
-            scores = _scores(vectors.matrix(part[vectors.column].combine_chunks()), block, None, SCORE_DIGITS)
-            if len(scores) > ranking.k:
-                floor = np.partition(scores, len(scores) - ranking.k, axis=0)[len(scores) - ranking.k]
-                at, question = np.nonzero((scores >= floor) & np.isfinite(scores))
-            else:
-                at, question = np.nonzero(np.isfinite(scores))
-            hits = part.select(carried).take(at)
-            hits = hits.append_column("_question", pa.array(question, pa.int32()))
-            hits = hits.append_column("score", pa.array(scores[at, question]))
-            best = hits if best is None else pa.concat_tables([best, hits])
-            best = best.take(_best(best, ranking))
-        if best is None:
+        kept = None
+        if here.num_rows and there.num_rows:
+            first, end = starts[there["_group"][0].as_py() :][:2]
+            bits = np.frombuffer(b"".join(there["_wanted"].to_pylist()), np.uint8)
+            bits = np.unpackbits(bits.reshape(there.num_rows, -1), axis=1, count=end - first)
+            asking = asked_vectors.matrix(there["_vector"].combine_chunks())
+            block = Block(there["_no"].combine_chunks(), asking, bits.astype(bool))
+            kept = _Kept(block, ranking, carried)
+            here = here.take(pa.array(np.argsort(here["_at"].to_numpy(), kind="stable")))
+            matrix = vectors.matrix(here[vectors.column].combine_chunks())
+            cells = here["_at"].to_numpy() - first
+            kept.see(here, matrix, cells, None, SCORE_DIGITS, _norms(matrix), _units(matrix))
+            kept.rank()
+        if kept is None or kept.best is None:
             return pa.table({f.name: pa.array([], _arrow(f)) for f in schema})
-        who = best["_question"].combine_chunks()
+        who, best = kept.best["_question"].combine_chunks(), kept.best
         columns = [there["_no"].take(who), there[id_name].take(who), best["score"]]
         return pa.table([*columns, *(best[c] for c in carried)], names=schema.names)
 
-    groups = ["_at", "_piece", "_part"]
-    met = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(score, schema)
+    keys = ["_group", "_piece", "_part"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
     return met, pairs
 
 
