@@ -109,23 +109,24 @@ def write_index(
         *keys,
         "terms",
     )
-    each = placed.select("block", "place", "squares", F.explode("terms").alias("t")).select(
+    # Shuffled once, before the terms are rows: whole articles by their block.
+    of_block = placed.repartition("block")
+    each = of_block.select("block", "place", "squares", F.explode("terms").alias("t")).select(
         "block", "place", "t.bucket", F.col("t.tf").cast("int").alias("tf"),
         (F.col("t.tf") / F.sqrt("squares")).alias("weight"),
     )
     grouped = each.groupBy("block", "bucket").agg(
-        F.array_sort(F.collect_list(F.struct("place", "tf"))).alias("entries"),
+        F.sort_array(F.collect_list(F.struct("place", "tf"))).alias("entries"),
         F.max("weight").alias("largest"),
     )
-    by_block = grouped.repartition("block").sortWithinPartitions("block", "bucket")
-    by_block.write.parquet(f"{path}/postings")
+    grouped.sortWithinPartitions("block", "bucket").write.parquet(f"{path}/postings")
     heads = (
         spark.read.parquet(f"{path}/postings")
         .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("bucket", "largest"))).alias("heads"))
+        .agg(F.sort_array(F.collect_list(F.struct("bucket", "largest"))).alias("heads"))
     )
     members = placed.groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("place", "squares", *keys))).alias("members")
+        F.sort_array(F.collect_list(F.struct("place", "squares", *keys))).alias("members")
     )
     heads.join(members, "block").select(
         "block", F.col("heads.bucket").alias("buckets"), F.col("heads.largest").alias("largest"), "members"
